@@ -27,13 +27,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The rows of batches regrouped so that a piece has about `most` bytes of text in `column`.
+def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20, most_rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """The rows of batches regrouped so that a piece has about `most` bytes of text in `column`, and at most `most_rows`.
 
     Batches are joined as well as split: a kernel that works on arrays wants neither few
     rows nor more than fits in memory. A single longer text is a piece of its own.
     """
-    held, size = [], 0
+    held, size, count = [], 0, 0
 
     def flush() -> pa.RecordBatch:
         return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
@@ -46,13 +46,15 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20)
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
             stop = max(int(np.searchsorted(ends, before + most - size, side="right")), at + (not held))
+            stop = min(stop, at + most_rows - count)
             if stop > at:
                 held.append(batch.slice(at, stop - at))
                 size += int(ends[stop - 1] - before)
+                count += stop - at
                 at = stop
-            if at < batch.num_rows or size >= most:
+            if at < batch.num_rows or size >= most or count >= most_rows:
                 yield flush()
-                held, size = [], 0
+                held, size, count = [], 0, 0
     if held:
         yield flush()
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import decontamination
+from lodestar.llm import decontamination, jaccard
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,5 +15,9 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op5_decontamination,)}
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.pairs(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_decontamination, op8_ngram_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
