@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import decontamination, jaccard, suffix_dedup, toxicity
+from lodestar.llm import decontamination, jaccard, pii, suffix_dedup, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,9 +23,13 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.pairs(read(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(read(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op5_decontamination, op8_ngram_jaccard_join, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op5_decontamination, op8_ngram_jaccard_join, op9_pii, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
