@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import decontamination, jaccard, pii, suffix_dedup, toxicity
+from lodestar.llm import decontamination, jaccard, mixing, pii, suffix_dedup, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.pairs(read(spark, sf_dir, "documents"))
 
@@ -31,5 +35,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op5_decontamination, op8_ngram_jaccard_join, op9_pii, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op5_decontamination, op7_mixing, op8_ngram_jaccard_join, op9_pii, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
