@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import decontamination, jaccard, mixing, pii, suffix_dedup, toxicity
+from lodestar.llm import decontamination, jaccard, language, mixing, pii, suffix_dedup, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(read(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -35,5 +39,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op5_decontamination, op7_mixing, op8_ngram_jaccard_join, op9_pii, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op4_language_id, op5_decontamination, op7_mixing, op8_ngram_jaccard_join, op9_pii, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
