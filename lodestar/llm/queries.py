@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestar.llm import decontamination, jaccard, language, mixing, pii, suffix_dedup, toxicity
+from lodestar.llm import decontamination, html_text, jaccard, language, mixing, pii, suffix_dedup, toxicity, url_templates
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +16,14 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(read(spark, sf_dir, "documents"))
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is good if the document that its URL names, by the last number in its path, has good quality and isn't toxic."""
+    pages = read(spark, sf_dir, "pages")
+    named = pages.select("url", F.expr("try_cast(regexp_extract(url, '/([0-9]+)[^/]*$', 1) as bigint)").alias("doc_id")).where("doc_id is not null")
+    labels = read(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+    return url_templates.judge(pages, named.join(labels, "doc_id").select("url", "good"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read(spark, sf_dir, "documents"))
 
@@ -23,6 +32,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -39,5 +52,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op4_language_id, op5_decontamination, op7_mixing, op8_ngram_jaccard_join, op9_pii, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_url_filters, op4_language_id, op5_decontamination, op6_html_extraction, op7_mixing, op8_ngram_jaccard_join, op9_pii, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
