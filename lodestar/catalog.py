@@ -1,6 +1,418 @@
-"""Registered queries over the test tables, each with the SQL that gives the same rows."""
+"""Registered queries over the test tables, each with the SQL that gives the same rows.
+
+Columns are named alike on both sides; doubles are rounded to 6 places, and ties are broken by key.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestar.functions import paths, secrets, text
+from lodestar.operators import bm25, graph, intervals, resolve, slicing
+from lodestar.plans import render
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+QUESTION = "the license of thing token trash"
+ROUNDS = 12
+
+
+def query(sql: str | None = None) -> Callable:
+    def register(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# --- text -----------------------------------------------------------------------------------
+
+SQL_TOKENS = r"""list_filter(list_transform(list_filter(regexp_split_to_array(regexp_replace(regexp_replace({t},
+ '(\p{{Lu}})(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g'), '(\p{{Ll}})(\p{{Lu}})', '\1 \2', 'g'), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''), lambda x: lower(x)), lambda x: true)"""
+
+
+def sql_tokens(t: str) -> str:
+    """A select of (key, w) becomes one of the tokens with repeats in a row dropped."""
+    return SQL_TOKENS.format(t=t)
+
+
+DROP = "list_filter(w, lambda x, k: k = 1 or x <> w[k - 1])"
+
+
+@query("select doc_id, cast(floor(1.3::double * len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))) as bigint) as tokens from documents")
+def token_estimate_documents(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query(f"select doc_id, array_to_string({DROP}, ' ') as tokens, cast(len({DROP}) as bigint) as n from (select doc_id, {sql_tokens('text')} as w from documents)")
+def tokenize_documents(spark, d):
+    out = table(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("w"))
+    return out.select("doc_id", F.array_join("w", " ").alias("tokens"), F.size("w").cast("long").alias("n"))
+
+
+SQL_TF = f"select doc_id, term, count(*) as tf from (select doc_id, unnest({DROP}) as term from (select doc_id, {sql_tokens('text')} as w from documents)) group by 1, 2"
+
+
+@query(SQL_TF)
+def term_frequency(spark, d):
+    return bm25.term_frequency(table(spark, d, "documents"), "doc_id", F.col("text"))
+
+
+@query(f"with tf as ({SQL_TF}), n as (select count(*) as n from documents) select term, count(*) as df, round(ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 6) as idf from tf, n group by term")
+def idf_terms(spark, d):
+    return bm25.idf_terms(table(spark, d, "documents"), "doc_id", F.col("text")).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"select greatest(avg(len({DROP})), 1.0) as avgdl, count(*) as n from (select {sql_tokens('text')} as w from documents)".replace("greatest(avg", "round(greatest(avg").replace("1.0) as", "1.0), 6) as"))
+def average_length(spark, d):
+    return table(spark, d, "documents").select(F.size(text.tokens(F.col("text"))).alias("dl")).agg(F.round(F.greatest(F.avg("dl"), F.lit(1.0)), 6).alias("avgdl"), F.count("*").alias("n"))
+
+
+def sql_bm25(source: str, key: str, t: str, question: str, k: int) -> str:
+    return f"""with d as (select {key} as id, {DROP} as w from (select {key}, {sql_tokens(t)} as w from {source})),
+q as (select unnest({DROP}) as term from (select {sql_tokens("'" + question + "'")} as w)),
+qm as (select term, count(*) as m from q group by 1),
+s as (select count(*) as n, greatest(avg(len(w)), 1.0) as avgdl from d),
+tf as (select id, dl, term, count(*) as f from (select id, len(w) as dl, unnest(w) as term from d) group by 1, 2, 3),
+hit as (select tf.*, m from tf join qm using (term)),
+df as (select term, count(*) as df from hit group by 1)
+select id as {key}, round(sum(m * ln(1 + (n - df + 0.5) / (df + 0.5)) * (f * 2.2) / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) as score
+from hit join df using (term), s group by id having sum(f) > 0 order by sum(m * ln(1 + (n - df + 0.5) / (df + 0.5)) * (f * 2.2) / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))) desc, id limit {k}"""
+
+
+def _scored(df: DataFrame, key: str) -> DataFrame:
+    return df.select(key, F.round("score", 6).alias("score"))
+
+
+@query(sql_bm25("documents", "doc_id", "text", QUESTION, 10))
+def bm25_topk_documents(spark, d):
+    return _scored(bm25.search(table(spark, d, "documents"), "doc_id", F.col("text"), QUESTION, 10), "doc_id")
+
+
+@query(sql_bm25("(select conv_id * 1000 + turn as turn_id, text from conversations)", "turn_id", "text", "que la thing of", 10))
+def bm25_topk_conversations(spark, d):
+    turns = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text")
+    return _scored(bm25.search(turns, "turn_id", F.col("text"), "que la thing of", 10), "turn_id")
+
+
+@query(sql_bm25("part", "p_partkey", "p_name", "small widget widget", 5))
+def bm25_topk_part(spark, d):
+    return _scored(bm25.search(table(spark, d, "part"), "p_partkey", F.col("p_name"), "small widget widget", 5), "p_partkey")
+
+
+@query("select page_id, md5(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) as escaped from pages")
+def html_escape_pages(spark, d):
+    return table(spark, d, "pages").select("page_id", F.md5(text.html_escape(F.col("html"))).alias("escaped"))
+
+
+def _sql_redact(t: str) -> str:
+    for p in secrets.PATTERNS.values():
+        t = f"regexp_replace({t}, '{p}', '{secrets.MARK}', 'g')"
+    return t
+
+
+def _sql_count(t: str) -> str:
+    total = []
+    for p in secrets.PATTERNS.values():
+        total.append(f"len(regexp_extract_all({t}, '{p}'))")
+        t = f"regexp_replace({t}, '{p}', '{secrets.MARK}', 'g')"
+    return " + ".join(total)
+
+
+@query(f"select doc_id, cast({_sql_count('text')} as bigint) as secrets from documents where {_sql_count('text')} > 0")
+def secret_scan_documents(spark, d):
+    return table(spark, d, "documents").select("doc_id", secrets.count(F.col("text")).alias("secrets")).where("secrets > 0")
+
+
+@query(f"select doc_id, r as text, r <> text as has_redactions from (select doc_id, text, {_sql_redact('text')} as r from documents)")
+def redact_documents(spark, d):
+    out = table(spark, d, "documents").select("doc_id", "text", secrets.redact(F.col("text")).alias("r"))
+    return out.select("doc_id", F.col("r").alias("text"), (F.col("r") != F.col("text")).alias("has_redactions"))
+
+
+# --- files and languages ----------------------------------------------------------------------
+
+EXT = "['rs','py','pyi','ts','tsx','js','mjs','go','java','h','cc','cs','rb','swift','kts','md','PY']"
+SQL_PATH = f"source || '/' || doc_id || '.' || {EXT}[doc_id % 17 + 1]"
+
+
+def documents_as_files(spark: SparkSession, d: str) -> DataFrame:
+    """documents as a corpus of files: a path from source and number, with an extension by the number."""
+    kinds = F.array(*(F.lit(x) for x in eval(EXT)))  # noqa: S307
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), F.get(kinds, (F.col("doc_id") % 17).cast("int")))
+    return table(spark, d, "documents").select("doc_id", path.alias("path"), "text")
+
+
+def _sql_case(column: int, key: str, default: str) -> str:
+    return "case " + " ".join(f"when {key} = '{n}' then '{r[column]}'" for n, r in paths.LANGUAGES.items()) + f" else {default} end"
+
+
+SQL_LANGUAGE = "case " + " ".join(f"when ext = '{e}' then '{n}'" for e, n in paths.EXTENSIONS.items()) + " else 'unknown' end"
+
+
+@query(f"""select path, language, {_sql_case(2, 'language', 'language')} as display, {_sql_case(3, 'language', "'#'")} as comment, {_sql_case(1, 'language', 'ext')} as fence, regexp_extract(path, '^(.*)/[^/]*$', 1) as dir
+from (select path, ext, {SQL_LANGUAGE} as language from (select {SQL_PATH} as path, lower({EXT}[doc_id % 17 + 1]) as ext from documents))""")
+def language_of_path(spark, d):
+    files = documents_as_files(spark, d).select("path", paths.language(F.col("path")).alias("language"))
+    lang = F.col("language")
+    return files.select("path", "language", paths.display(lang).alias("display"), paths.comment_prefix(lang).alias("comment"), paths.fence(lang, F.col("path")).alias("fence"), paths.directory(F.col("path")).alias("dir"))
+
+
+@query("""select case when n_bytes > 8192 then 'too_large' when text like '%secret%' then 'flagged' else 'ok' end as reason, count(*) as files, cast(sum(n_bytes) as bigint) as bytes
+from (select text, strlen(text) as n_bytes from documents) group by 1""")
+def admission_report(spark, d):
+    sized = table(spark, d, "documents").select("text", F.octet_length("text").alias("n_bytes"))
+    reason = F.when(F.col("n_bytes") > 8192, "too_large").when(F.col("text").contains("secret"), "flagged").otherwise("ok")
+    return sized.groupBy(reason.alias("reason")).agg(F.count("*").alias("files"), F.sum("n_bytes").cast("long").alias("bytes"))
+
+
+SQL_ESTIMATE = "cast(floor(1.3::double * len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))) as bigint)"
+
+
+@query(f"select coalesce(source, 'Total') as dir, count(*) as files, cast(sum({SQL_ESTIMATE}) as bigint) as tokens from documents group by rollup (source)")
+def summary_by_source(spark, d):
+    docs = table(spark, d, "documents").select("source", text.estimate_tokens(F.col("text")).alias("tokens"))
+    return docs.rollup("source").agg(F.count("*").alias("files"), F.sum("tokens").alias("tokens")).select(F.coalesce("source", F.lit("Total")).alias("dir"), "files", "tokens")
+
+
+@query("select doc_id, cast(row_number() over (order by source, doc_id) - 1 as bigint) as node from documents")
+def dense_ids(spark, d):
+    return graph.dense_ids(table(spark, d, "documents").select("source", "doc_id"), "source", "doc_id").select("doc_id", "node")
+
+
+# --- graphs --------------------------------------------------------------------------------------
+
+SQL_LINKS = r"""select distinct regexp_extract(url, '//([^/]+)', 1) as src, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as dst, 'link' as kind from pages"""
+
+
+def link_table(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages")
+    links = pages.select(F.regexp_extract("url", "//([^/]+)", 1).alias("src"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("dst"), F.lit("link").alias("kind"))
+    return graph.distinct_edges(links)
+
+
+@query(SQL_LINKS)
+def link_edges(spark, d):
+    return link_table(spark, d)
+
+
+SQL_TRADE = """select src, dst, 'trade' as kind from (select c_nationkey as src, s_nationkey as dst, row_number() over (partition by c_nationkey order by count(*) desc, s_nationkey) as r
+from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey group by 1, 2) where r <= 3 and src <> dst"""
+
+
+def trade_table(spark: SparkSession, d: str) -> DataFrame:
+    """Nations of customers to the three nations of suppliers that they buy most lines from."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("src"))
+    suppliers = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("dst"))
+    # Orders get their customer's nation before they meet the lines, so lines are shuffled once.
+    counts = lines.join(suppliers, "l_suppkey").join(orders.join(customers, "o_custkey").select("l_orderkey", "src"), "l_orderkey").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "dst"))
+    return graph.distinct_edges(counts.withColumn("r", rank).where("r <= 3").select("src", "dst", F.lit("trade").alias("kind")))
+
+
+def nations(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "nation").select(F.col("n_nationkey").alias("node"))
+
+
+@query(SQL_TRADE)
+def trade_edges(spark, d):
+    return trade_table(spark, d)
+
+
+@query(f"select n_nationkey as node, count(dst) as out_degree from nation left join ({SQL_TRADE}) on n_nationkey = src group by 1")
+def out_degree(spark, d):
+    return graph.out_degree(nations(spark, d), trade_table(spark, d))
+
+
+def link_nodes(spark: SparkSession, d: str) -> DataFrame:
+    e = link_table(spark, d)
+    return e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+
+
+@query(f"with e as ({SQL_LINKS}) select distinct dst as node from e where dst not in (select src from e)")
+def dangling_nodes(spark, d):
+    e = link_table(spark, d)
+    return graph.out_degree(link_nodes(spark, d), e).where("out_degree = 0").select("node")
+
+
+def sql_rank(edges: str, nodes: str, rounds: int) -> str:
+    """PageRank with each round as a table of its own."""
+    out = f"with e as materialized ({edges}), n as materialized ({nodes}), c as (select count(*) as c from n), deg as materialized (select src, count(*) as k from e group by 1), r0 as materialized (select node, 1.0::double / c as s from n, c)"
+    for i in range(1, rounds + 1):
+        p = f"r{i - 1}"
+        out += f""", r{i} as materialized (select n.node, 0.15 / c + 0.85 * (coalesce(x.s, 0) + (select coalesce(sum(s), 0) from {p} where node not in (select src from deg)) / c) as s
+from n cross join c left join (select e.dst as node, sum({p}.s / k) as s from e join {p} on e.src = {p}.node join deg on deg.src = e.src group by 1) x on x.node = n.node)"""
+    return out
+
+
+def _rank(spark: SparkSession, d: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return graph.page_rank(nodes, edges, rounds=ROUNDS, tolerance=0.0)
+
+
+SQL_TRADE_RANK = sql_rank(SQL_TRADE, "select n_nationkey as node from nation", ROUNDS)
+
+
+@query(f"{SQL_TRADE_RANK} select node, round(s, 6) as score from r{ROUNDS}")
+def pagerank_trade(spark, d):
+    return _rank(spark, d, nations(spark, d), trade_table(spark, d)).select("node", F.round("score", 6).alias("score"))
+
+
+@query(sql_rank(SQL_LINKS, "select src as node from e union select dst from e", ROUNDS) + f" select node, round(s, 6) as score from r{ROUNDS}")
+def pagerank_links(spark, d):
+    return _rank(spark, d, link_nodes(spark, d), link_table(spark, d)).select("node", F.round("score", 6).alias("score"))
+
+
+@query(f"{SQL_TRADE_RANK} select node, round(s, 6) as score from (select *, row_number() over (order by round(s, 9) desc, node) as k from r{ROUNDS}) where k <= greatest(1, floor((select c from c) * 0.2))")
+def hubs_top_fraction(spark, d):
+    scores = _rank(spark, d, nations(spark, d), trade_table(spark, d)).select("node", F.round("score", 9).alias("score"))
+    return graph.hubs(scores, 0.2).select("node", F.round("score", 6).alias("score"))
+
+
+@query(f"""with recursive e as ({SQL_TRADE}), u as (select src as a, dst as b from e union select dst, src from e), w as (select 0 as node, 0 as hop union select u.b, w.hop + 1 from w join u on u.a = w.node where w.hop < 2)
+select node, min(hop) as hop from w group by 1 having min(hop) > 0""")
+def khop_neighbours(spark, d):
+    start = spark.createDataFrame([(0,)], "node int")
+    return graph.k_hop(trade_table(spark, d), start, 2)
+
+
+@query(f"{SQL_TRADE_RANK} select r_name as path, round(coalesce(max(s), 0), 6) as importance from region left join nation on r_regionkey = n_regionkey left join r{ROUNDS} on node = n_nationkey group by 1")
+def file_importance(spark, d):
+    scores = _rank(spark, d, nations(spark, d), trade_table(spark, d))
+    regions = table(spark, d, "region").select("r_regionkey", F.col("r_name").alias("path"))
+    of = table(spark, d, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("node"), "path")
+    return graph.file_importance(of, scores, regions).select("path", F.round("importance", 6).alias("importance"))
+
+
+# --- plans ------------------------------------------------------------------------------------------
+
+SQL_PLANS = "select p_partkey as file_id, p_size * 20 as full_tokens, p_size * 10 as skeleton_tokens, 5 + 5 * (p_partkey % 7) as signature_tokens, p_retailprice as importance, p_partkey % 10 = 0 as is_hub from part where p_size > 0"
+
+
+def part_plans(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part").where("p_size > 0")
+    files = part.select(F.col("p_partkey").alias("file_id"), (F.col("p_size") * 20).alias("token_count"), (F.col("p_partkey") % 7).alias("n_symbols"), F.col("p_retailprice").alias("importance"), (F.col("p_partkey") % 10 == 0).alias("is_hub"))
+    return slicing.build_plans(files)
+
+
+@query(SQL_PLANS)
+def build_plans(spark, d):
+    return part_plans(spark, d)
+
+
+@query(f"select file_id, row_number() over (order by importance / full_tokens desc, file_id) as place from ({SQL_PLANS})")
+def value_density_order(spark, d):
+    plans = part_plans(spark, d).select("file_id", (-slicing.density(F.col("importance"), F.col("full_tokens"))).alias("k"))
+    return graph.dense_ids(plans, "k", "file_id").select("file_id", (F.col("node") + 1).alias("place"))
+
+
+def sql_allocate(initial: str, budget: int) -> str:
+    level = "case when i >= 3 and f <= rem then 3 when i >= 2 and (s <= rem or h) then 2 when i >= 1 and g <= rem then 1 when h then 2 else 0 end"
+    return f"""with recursive p as materialized (select file_id, full_tokens as f, skeleton_tokens as s, signature_tokens as g, is_hub as h, {initial} as i, row_number() over (order by importance / full_tokens desc, file_id) as k from ({SQL_PLANS})),
+w as (select 0::bigint as k, {budget}::bigint as rem, 0::bigint as file_id, 0 as level union all
+select p.k, greatest(rem - case {level} when 3 then f when 2 then s when 1 then g else 0 end, 0)::bigint, p.file_id, {level} from w join p on p.k = w.k + 1)
+select file_id, level from w where k > 0"""
+
+
+@query(sql_allocate("3", 100_000))
+def allocate_full(spark, d):
+    return slicing.allocate(part_plans(spark, d), 100_000)
+
+
+@query(sql_allocate("case when is_hub then 3 when file_id % 3 = 0 then 2 else 1 end", 60_000))
+def allocate_floor(spark, d):
+    first = F.when(F.col("is_hub"), 3).when(F.col("file_id") % 3 == 0, 2).otherwise(1)
+    return slicing.allocate(part_plans(spark, d).withColumn("level", first), 60_000)
+
+
+@query(f"select level, count(*) as files, cast(sum(case level when 3 then full_tokens when 2 then skeleton_tokens when 1 then signature_tokens else 0 end) as bigint) as tokens from ({sql_allocate('3', 100_000)}) join ({SQL_PLANS}) using (file_id) group by 1")
+def plan_cost(spark, d):
+    plans = part_plans(spark, d)
+    levels = slicing.allocate(plans, 100_000).join(plans, "file_id")
+    spent = slicing.cost(F.col("level"), F.col("full_tokens"), F.col("skeleton_tokens"), F.col("signature_tokens"))
+    return levels.groupBy("level").agg(F.count("*").alias("files"), F.sum(spent).alias("tokens"))
+
+
+# --- joins ---------------------------------------------------------------------------------------------
+
+
+@query("""with f as (select distinct source || '/' || (doc_id % 50) as path from documents), c as (select doc_id, 0 as priority, source || '/' || n_chars % 97 as path from documents union all select doc_id, 1, source || '/' || n_chars % 53 from documents union all select doc_id, 2, 'src0/' || n_chars % 7 from documents)
+select doc_id, arg_min(path, priority) as path from c join f using (path) group by 1""")
+def import_resolution(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
+    files = docs.select(F.concat_ws("/", "source", (F.col("doc_id") % 50).cast("string")).alias("path"))
+    n = F.col("n_chars")
+    options = [F.concat_ws("/", "source", (n % 97).cast("string")), F.concat_ws("/", "source", (n % 53).cast("string")), F.concat_ws("/", F.lit("src0"), (n % 7).cast("string"))]
+    candidates = docs.select("doc_id", F.posexplode(F.array(*options)).alias("priority", "path"))
+    return resolve.first_existing(candidates, files, "doc_id")
+
+
+SQL_CALLS = f"""with t as (select doc_id, {DROP} as w from (select doc_id, {sql_tokens('text')} as w from documents)),
+n as (select doc_id, w[1] as name from t where len(w) > 0), c as (select distinct doc_id, unnest(w[2:30]) as callee from t)
+select callee, count(*) as edges, count(distinct c.doc_id) as callers from c join n on n.name = c.callee and n.doc_id <> c.doc_id group by 1"""
+
+
+@query(SQL_CALLS)
+def call_fanout(spark, d):
+    """Each document is a file that exports its first word and calls the next 29."""
+    words = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), text.tokens(F.col("text")).alias("w"))
+    nodes = words.where(F.size("w") > 0).select(F.col("doc_id").alias("node"), "path", F.get("w", F.lit(0)).alias("name"))
+    calls = words.select("path", F.lit(None).cast("string").alias("enclosing"), F.explode(F.slice("w", 2, 29)).alias("callee"))
+    edges = resolve.call_edges(calls, nodes)
+    named = edges.join(nodes.select(F.col("node").alias("dst"), F.col("name").alias("callee")), "dst")
+    return named.groupBy("callee").agg(F.count("*").alias("edges"), F.count_distinct("src").alias("callers"))
+
+
+@query("""with s as (select user_id, epoch_us(ts) as start, epoch_us(ts) + cast(floor(value * 20000000) as bigint) as stop from events where user_id is not null),
+m as (select *, case when start <= max(stop) over (partition by user_id order by start, stop rows between unbounded preceding and 1 preceding) then 0 else 1 end as fresh from s),
+g as (select *, sum(fresh) over (partition by user_id order by start, stop rows unbounded preceding) as island from m)
+select user_id, min(start) as start, max(stop) as "end" from g group by user_id, island""")
+def interval_union_events(spark, d):
+    events = table(spark, d, "events").where("user_id is not null")
+    start = F.unix_micros(F.col("ts").cast("timestamp"))
+    spans = events.select("user_id", start.alias("start"), (start + F.floor(F.col("value") * 20_000_000).cast("long")).alias("end"))
+    return intervals.interval_union(spans, "user_id")
+
+
+# --- reports -----------------------------------------------------------------------------------------------
+
+
+@query(f"""select path, '- `' || path || '`: ' || string_agg(name || coalesce(' — ' || doc, ''), ', ' order by k) as line from (select {SQL_PATH} as path, w[k] as name, case when k = 1 then lang end as doc, k
+from (select doc_id, source, lang, {DROP} as w from (select doc_id, source, lang, {sql_tokens('text')} as w from documents)) , (select unnest([1, 2, 3]) as k) where len(w) >= k and w[k] not like 'e%') group by path""")
+def contract_view(spark, d):
+    """The first three words as symbols, of which those that begin with an e are private."""
+    files = documents_as_files(spark, d).join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id").select("path", "lang", F.slice(text.tokens(F.col("text")), 1, 3).alias("w"))
+    symbols = F.transform("w", lambda x, i: F.struct(F.when(x.startswith("e"), "private").otherwise("public").alias("visibility"), x.alias("name"), F.when(i == 0, F.col("lang")).alias("docstring")))
+    return render.contract_view(files.select("path", symbols.alias("symbols")))
+
+
+@query(f"""select path, '### ' || path || chr(10) || '```' || {_sql_case(1, 'language', 'ext')} || chr(10) || text || case when text like '%' || chr(10) then '' else chr(10) end || '```' || chr(10) as block
+from (select *, {SQL_LANGUAGE} as language from (select {SQL_PATH} as path, lower({EXT}[doc_id % 17 + 1]) as ext, text from documents))""")
+def render_blocks(spark, d):
+    files = documents_as_files(spark, d)
+    files = files.select("path", paths.language(F.col("path")).alias("language"), F.col("text").alias("source"))
+    return render.file_blocks(files, collapse=False)
+
+
+@query(f"{SQL_TRADE_RANK} select n_nationkey as id, n_name as label, floor(s * 1000 + 0.5) / 1000 as score from r{ROUNDS} join nation on node = n_nationkey")
+def graph_export_nodes(spark, d):
+    scores = _rank(spark, d, nations(spark, d), trade_table(spark, d))
+    names = table(spark, d, "nation").select(F.col("n_nationkey").alias("node"), "n_name")
+    return scores.join(names, "node").select(F.col("node").alias("id"), F.col("n_name").alias("label"), (F.floor(F.col("score") * 1000 + 0.5) / 1000).alias("score"))
+
+
+@query()
+def graph_export_json(spark, d):
+    """The whole graph as one JSON text."""
+    return render.graph_json(graph_export_nodes(spark, d), trade_table(spark, d))
