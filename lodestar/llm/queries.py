@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontamination, html_text, jaccard, language, mixing, pii, suffix_dedup, toxicity, url_templates
+from lodestar.llm import decontamination, embeddings, html_text, jaccard, language, mixing, pii, suffix_dedup, toxicity, url_templates
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge(pages, named.join(labels, "doc_id").select("url", "good"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.groups(read(spark, sf_dir, "embeddings"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read(spark, sf_dir, "documents"))
 
@@ -52,5 +56,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_url_filters, op4_language_id, op5_decontamination, op6_html_extraction, op7_mixing, op8_ngram_jaccard_join, op9_pii, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_url_filters, op3_embedding_near_dedup, op4_language_id, op5_decontamination, op6_html_extraction, op7_mixing, op8_ngram_jaccard_join, op9_pii, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
