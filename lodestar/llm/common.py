@@ -12,22 +12,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the checkpoint folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir. Only where that is unset and the
-    master is local (tests) is a temporary folder set.
+    Only where that is unset and the master is local (tests) is a temporary folder set.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         at = sc.getConf().get("spark.checkpoint.dir")
         if at is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder, without its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20, most_rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20, most_rows: int = 50_000) -> Iterator[pa.RecordBatch]:
     """The rows of batches regrouped so that a piece has about `most` bytes of text in `column`, and at most `most_rows`.
 
     Batches are joined as well as split: a kernel that works on arrays wants neither few
@@ -72,7 +77,7 @@ def nonnull(column: pa.Array) -> np.ndarray:
     return pc.is_valid(column).to_numpy(zero_copy_only=False)
 
 
-def map_arrow(df: DataFrame, kernel: Callable, schema: pa.Schema, text: int = 1, most: int = 8 << 20) -> DataFrame:
+def map_arrow(df: DataFrame, kernel: Callable, schema: pa.Schema, text: int = 1, most: int = 4 << 20) -> DataFrame:
     """kernel: RecordBatch -> RecordBatch of schema, over pieces of df by the text column."""
     from pyspark.sql.pandas.types import from_arrow_schema
 

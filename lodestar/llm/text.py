@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
+BLOCK = 1 << 18
+
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 # Lower-case ASCII letters; ASCII signs become spaces; bytes of other characters stay.
@@ -78,7 +80,14 @@ class Words:
         last[:-1] |= space[1:]
         self.start = np.flatnonzero(first & ~space)
         self.end = np.flatnonzero(last & ~space) + 1
-        self.hash = mix(Prefix(data).of(self.start, self.end) + (self.end - self.start).astype(np.uint64))
+        self.hash = np.empty(len(self.start), np.uint64)
+        # Some bytes at a time: a prefix hash takes 8 bytes for each, and some more on the way.
+        parts = np.append(np.searchsorted(self.start, np.arange(0, n, BLOCK)), len(self.start))
+        for a, b in zip(parts[:-1], parts[1:], strict=True):
+            if a < b:
+                low, high = self.start[a], self.end[b - 1]
+                self.hash[a:b] = Prefix(data[low:high]).of(self.start[a:b] - low, self.end[a:b] - low)
+        self.hash = mix(self.hash + (self.end - self.start).astype(np.uint64))
         self.off = np.searchsorted(self.start, self.at)
 
     def __len__(self) -> int:

@@ -5,11 +5,12 @@
    tried), toxic ones by `lift` times at least. The labelled documents are a sample of at most
    `max_labelled` (those of the least hashes); all else covers all documents.
 2. Candidates are all words of the corpus that come with toxic seeds in a document far more
-   often than chance, by the same measures over all documents.
+   often than chance, by the same measures over all documents, but for those that clean labelled
+   documents hold as well. The clean seeds are the most frequent words that don't lean to toxic documents.
 3. Nodes are the seeds and the candidates; edges are positive pointwise mutual information of
    their document frequencies. Counts are over all documents.
-4. Random walks with restart from the toxic and from the clean seeds give each node the
-   weight (p - q) / (p + q).
+4. Random walks with restart from the toxic and from the clean seeds reach a node with p and q. With
+   r = p / q over the median of the clean seeds, its weight is (r - 1) / (r + 1); seeds keep their side.
 5. The score of a document is the sum of the positive weights of its words (clean words don't make
    up for an insult, however long the document). It is toxic from the threshold up that gives the best F1 on
    the labelled sample.
@@ -100,19 +101,21 @@ def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return source.join(F.broadcast(known), "id").select((F.col("toxic") > 0).cast("int").alias("toxic"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _seeds(sample: DataFrame, lift: float, clean_seeds: int) -> tuple[np.ndarray, np.ndarray]:
+def _seeds(sample: DataFrame, lift: float, clean_seeds: int) -> tuple[np.ndarray, np.ndarray, DataFrame | None]:
+    """(toxic seeds, clean seeds, words that labelled documents speak against)"""
     n1, n0 = sample.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     none = np.zeros(0, np.int64)
     if not n1 or not n0:
-        return none, none
+        return none, none, None
     counts = common.cut(_counts(sample, True))
     tried = counts.count()
     bar = 2 * np.log(max(tried, 2)) + 2
     a, b = F.col("a"), F.col("b")
     toxic = counts.where((_g2(a, b, n1, n0) >= bar) & ((a + 0.5) / n1 >= lift * (b + 0.5) / n0))
-    clean = counts.where((b >= 5) & (a * n0 <= b * n1)).orderBy(_g2(a, b, n1, n0).desc(), "word").limit(clean_seeds)
+    clean = counts.where((b >= 5) & (a * n0 <= b * n1)).orderBy(F.desc("b"), "word").limit(clean_seeds)
     column = lambda df: np.sort(df.select("word").toPandas().word.to_numpy(np.int64))
-    return column(toxic), column(clean)
+    against = counts.where((b > 0) & ((a + 0.5) / n1 < lift * (b + 0.5) / n0)).select("word")
+    return column(toxic), column(clean), against
 
 
 def _member(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -121,7 +124,7 @@ def _member(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
 
 
-def _candidates(texts: DataFrame, toxic: np.ndarray, total: int, lift: float, limit: int) -> np.ndarray:
+def _candidates(texts: DataFrame, toxic: np.ndarray, against: DataFrame, total: int, lift: float, limit: int) -> np.ndarray:
     """Words that come with toxic seeds beyond chance, over all texts."""
     schema = pa.schema([("word", pa.int64()), ("n", pa.int64()), ("texts", pa.int64())])
 
@@ -140,7 +143,7 @@ def _candidates(texts: DataFrame, toxic: np.ndarray, total: int, lift: float, li
     if not hits or hits == total:
         return toxic
     # Fewer than 3 can't be beyond chance among so many words.
-    near = near.where("n >= 3").select("word", "n")
+    near = near.where("n >= 3").join(against, "word", "left_anti").select("word", "n")
     few = near.count()
     wanted = np.sort(near.select("word").toPandas().word.to_numpy(np.int64)) if few <= limit else None
 
@@ -159,7 +162,8 @@ def _candidates(texts: DataFrame, toxic: np.ndarray, total: int, lift: float, li
     every = common.map_arrow(texts, frequency, schema, text=0).groupBy("word").agg(F.sum("n").alias("df"))
     both = near.join(every, "word").select("word", F.col("n").alias("a"), (F.col("df") - F.col("n")).alias("b"))
     a, b = F.col("a"), F.col("b")
-    bar = 2 * np.log(max(few, 2)) + 2
+    # A stricter bar than for seeds: what stands out against all texts may be but the language of toxic ones.
+    bar = 3 * np.log(max(few, 2)) + 3
     out = both.where((_g2(a, b, hits, total - hits) >= bar) & ((a + 0.5) / hits >= lift * (b + 0.5) / (total - hits)))
     return np.union1d(toxic, out.select("word").toPandas().word.to_numpy(np.int64))
 
@@ -180,45 +184,77 @@ def walk(i: np.ndarray, j: np.ndarray, weight: np.ndarray, start: np.ndarray, re
 def induce(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, lift: float = LIFT, clean_seeds: int = CLEAN_SEEDS, restart: float = RESTART, steps: int = STEPS, limit: int = LIMIT) -> Lexicon:
     empty = Lexicon(np.zeros(0, np.int64), np.zeros(0), [])
     sample = _labelled(docs, labels, max_labelled)
-    toxic, clean = _seeds(sample, lift, clean_seeds)
+    toxic, clean, against = _seeds(sample, lift, clean_seeds)
     if not len(toxic):
         return empty
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
     total = texts.count()
-    inner = _candidates(texts, toxic, total, lift, limit)
+    inner = _candidates(texts, toxic, against, total, lift, limit)
     clean = np.setdiff1d(clean, inner)
     nodes = np.union1d(inner, clean)
 
-    def pairs(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = Words(batch.column(0), fold=True)
-        place = np.flatnonzero(_member(nodes, words.hash.view(np.int64)))
-        text, node = words.text_of()[place], np.searchsorted(nodes, words.hash[place].view(np.int64))
-        key, first = np.unique(text * len(nodes) + node, return_index=True)
-        text, node = key // len(nodes), key % len(nodes)
-        # All pairs of distinct nodes in a text, the smaller first, and each node with itself.
-        size = np.bincount(text, minlength=batch.num_rows)
-        rest = np.repeat(np.cumsum(size), size) - np.arange(len(text))
-        left = np.repeat(np.arange(len(text)), rest)
-        right = left + np.arange(len(left)) - np.repeat(np.cumsum(rest) - rest, rest)
-        pair, n = np.unique(node[left] * len(nodes) + node[right], return_counts=True)
-        i, j = pair // len(nodes), pair % len(nodes)
-        one = dict(zip(node.tolist(), place[first].tolist(), strict=True))
-        shown = [words.slice(one[a], one[a] + 1)[0].decode("utf-8", "replace") if a == b else None for a, b in zip(i.tolist(), j.tolist(), strict=True)]
-        return common.rows([i, j, n, shown], PAIRS)
-
-    got = common.map_arrow(texts, pairs, PAIRS, text=0).groupBy("i", "j").agg(F.sum("n").alias("n"), F.max("word").alias("word")).toPandas()
+    def pairs(batches):
+        """Pairs of nodes in a text, the smaller first, and each node with itself: one row a pair and task."""
+        width, most = len(nodes), 1_000_000
+        dense = np.zeros(width**2 if width <= 2000 else 0, np.int64)
+        sparse = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        seen: dict[int, str] = {}
+        for batch in common.pieces(batches, 0):
+            words = Words(batch.column(0), fold=True)
+            place = np.flatnonzero(_member(nodes, words.hash.view(np.int64)))
+            text, node = words.text_of()[place], np.searchsorted(nodes, words.hash[place].view(np.int64))
+            key = np.unique(text * width + node)
+            for k, p in zip(*np.unique(node, return_index=True), strict=True):
+                if int(k) not in seen:
+                    seen[int(k)] = words.slice(place[p], place[p] + 1)[0].decode("utf-8", "replace")
+            text, node = key // width, key % width
+            size = np.bincount(text, minlength=batch.num_rows)
+            rest = np.repeat(np.cumsum(size), size) - np.arange(len(text))
+            done = np.cumsum(rest)
+            low = 0
+            while low < len(rest):  # some pairs at a time
+                high = max(low + 1, int(np.searchsorted(done, (done[low - 1] if low else 0) + most, side="right")))
+                r = rest[low:high]
+                left = np.repeat(np.arange(low, high), r)
+                right = left + np.arange(len(left)) - np.repeat(np.cumsum(r) - r, r)
+                codes = node[left] * width + node[right]
+                if len(dense):
+                    np.add.at(dense, codes, 1)
+                else:
+                    u, n = np.unique(codes, return_counts=True)
+                    both = np.concatenate((sparse[0], u))
+                    u, inverse = np.unique(both, return_inverse=True)
+                    sparse = (u, np.bincount(inverse, np.concatenate((sparse[1], n))).astype(np.int64))
+                low = high
+        if len(dense):
+            at = np.flatnonzero(dense)
+            sparse = (at, dense[at])
+        for k in range(0, len(sparse[0]), 100_000):
+            c = sparse[0][k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(c // width), pa.array(c % width), pa.array(sparse[1][k : k + 100_000]), pa.nulls(len(c), pa.string())], schema=PAIRS)
+        names = sorted(seen)
+        yield common.rows([names, [-1] * len(names), [0] * len(names), [seen[k] for k in names]], PAIRS)
+
+    got = texts.mapInArrow(pairs, "i long, j long, n long, word string").groupBy("i", "j").agg(F.sum("n").alias("n"), F.max("word").alias("word")).toPandas()
+    shown = [""] * len(nodes)
+    named = got[got.j < 0]
+    for k, w in zip(named.i, named.word, strict=True):
+        shown[k] = w
+    got = got[got.j >= 0]
     i, j, n = (got[c].to_numpy(np.int64) for c in ("i", "j", "n"))
     own = i == j
-    df, shown = np.zeros(len(nodes)), [""] * len(nodes)
+    df = np.zeros(len(nodes))
     df[i[own]] = n[own]
-    for k, w in zip(i[own], got.word[own], strict=True):
-        shown[k] = w
     i, j, n = i[~own], j[~own], n[~own]
     pmi = np.log(n * total / np.maximum(df[i] * df[j], 1))
     i, j, pmi = i[pmi > 0], j[pmi > 0], pmi[pmi > 0]
     p = walk(i, j, pmi, np.isin(nodes, toxic).astype(float), restart, steps)
     q = walk(i, j, pmi, np.isin(nodes, clean).astype(float), restart, steps)
-    weight = (p - q) / np.maximum(p + q, 1e-300)
+    # Odds against those of a typical clean seed, as frequent words are near to all. Seeds keep their side.
+    odds = (p + 1e-12) / (q + 1e-12)
+    odds = odds / max(float(np.median(odds[np.isin(nodes, clean)])), 1e-12) if len(clean) else odds
+    weight = (odds - 1) / (odds + 1)
+    weight = np.where(np.isin(nodes, clean), np.minimum(weight, 0), np.where(np.isin(nodes, toxic), np.maximum(weight, 0), weight))
     made = Lexicon(nodes, weight, shown)
     made.threshold = _threshold(sample, made)
     return made
