@@ -197,8 +197,8 @@ def train(texts: list[bytes], labels: list[str], hidden: int = HIDDEN, rounds: i
 
 def fit(docs: DataFrame, label: str = "lang", max_labelled: int = MAX_LABELLED, **options) -> Network:
     known = docs.select(F.encode(F.col("text").cast("string"), "utf-8").alias("text"), F.col(label).cast("string").alias("label")).where("text is not null and label is not null and octet_length(text) > 0")
-    sample = known.orderBy(F.xxhash64("text"), "label").limit(max_labelled)
-    got = sorted((x.label, bytes(x.text)) for x in sample.select("label", F.substring("text", 1, 2000).alias("text")).collect())
+    known = known.select(F.xxhash64("text").alias("h"), "label", F.substring("text", 1, 2000).alias("text"))
+    got = sorted((x.label, bytes(x.text)) for x in known.orderBy("h", "label", "text").limit(max_labelled).collect())
     return train([t for _, t in got], [l for l, _ in got], **options)
 
 

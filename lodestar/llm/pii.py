@@ -357,8 +357,9 @@ def train(background: list[str], hidden: int = HIDDEN, rounds: int = 400, batch:
 
 def fit(docs: DataFrame, background: int = BACKGROUND, **options) -> Model:
     """The model for docs; their texts are but the background that labelled spans are put into."""
-    texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null").orderBy(F.xxhash64("text")).limit(background)
-    return train(sorted(r[0] for r in texts.select(F.substring("text", 1, 4000)).collect()), **options)
+    whole = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
+    texts = whole.select(F.xxhash64("text").alias("h"), F.substring("text", 1, 4000).alias("text")).orderBy("h", "text").limit(background)
+    return train(sorted(r.text for r in texts.collect()), **options)
 
 
 def spans(docs: DataFrame, model: Model | None = None, background: int = BACKGROUND) -> DataFrame:
