@@ -10,7 +10,7 @@ spaces). The join finds the pairs of sets with a Jaccard similarity of at least
    nor the words that an edit brought in can decide. The token-group matrix holds the union of
    each group's tokens.
 3. Each entry queries the matrix with the prefix of its sketch, rarest tokens first: what has
-   none of these in common with a group can't be similar to any of its members. So a shared
+   too few of these in common with a group can't be similar to any of its members. So a shared
    passage leads to no candidates unless it is most of a document.
 4. A group is opened for a query only if the bound |query & union| / |query| reaches the
    threshold (less `slack`, as these are sketches); then its members are compared one by one.
@@ -34,7 +34,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import common
@@ -86,8 +86,9 @@ def _classes(entries: DataFrame) -> np.ndarray:
     """How frequent the tokens of each bucket are, as a class from 0 up. The number of buckets, which is all
     that is sent to the driver and the tasks, follows the number of entries, and 2**22 (4 MB) is the most.
     Any order of tokens keeps the prefix filter right; this one makes it lean."""
-    count = entries.count()
-    bits = int(np.clip(np.ceil(np.log2(max(count, 1) / 4 + 1)), 8, 22))
+    count, tokens = entries.agg(F.count("*"), F.coalesce(F.sum(F.size("sketch")), F.lit(0))).first()
+    bits = int(np.clip(np.ceil(np.log2(4 * max(count, 1))), 8, 22))
+    mean = max(tokens / (1 << bits), 1e-9)
     schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
 
     def run(batches):
@@ -97,40 +98,65 @@ def _classes(entries: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield common.rows([at.astype(np.int32), total[at]], schema)
 
-    got = entries.select("sketch").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    load = np.zeros(1 << bits)
-    load[got.bucket.to_numpy(np.int64)] = got.n
-    mean = load.mean()
-    over = (load - mean) / (6 * np.sqrt(mean) + 8)
-    return np.where(over < 1, 0, 1 + np.log2(np.maximum(over, 1))).astype(np.int8)
+    loads = entries.select("sketch").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    class_ = F.least(F.floor(2 * F.log2(F.col("n") / mean)), F.lit(100)).cast("byte")
+    got = loads.select("bucket", class_.alias("class")).where("class > 0").toArrow().to_pandas()  # of the few buckets above the mean
+    out = np.zeros(1 << bits, np.int8)
+    out[got["bucket"].to_numpy(np.int64)] = got["class"]
+    return out
+
+
+def _ordered(batch: pa.RecordBatch, classes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(tokens, rarest first in each row; row of each; lengths of rows; group of each row)"""
+    lists = batch.column(2)
+    tokens = lists.flatten().to_numpy()
+    have = np.diff(lists.offsets.to_numpy())
+    row = np.repeat(np.arange(len(have)), have)
+    c = classes[tokens & (len(classes) - 1)]
+    by = np.argsort((row.astype(np.int64) << 8) | c, kind="stable")  # tokens are sorted within a row
+    tokens, c = tokens[by], c[by]
+    middle = c[np.cumsum(have) - have + have // 2]
+    first = np.full(len(have), len(tokens))
+    f = np.flatnonzero(c == middle[row])
+    np.minimum.at(first, row[f], f)
+    return tokens, row, have, tokens[first]
+
+
+def _groups(entries: DataFrame, classes: np.ndarray) -> DataFrame:
+    schema = pa.schema([("doc", pa.int64()), ("grp", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield common.rows([batch.column(0), _ordered(batch, classes)[3]], schema)
+
+    return entries.select("doc", "size", "sketch").mapInArrow(run, "doc long, grp long")
 
 
-def _prefixes(entries: DataFrame, classes: np.ndarray, threshold: float, keep: int) -> DataFrame:
-    """(token, doc, grp): the prefix of each entry's sketch, and the group that the entry is in."""
-    schema = pa.schema([("token", pa.int64()), ("doc", pa.int64()), ("grp", pa.int64())])
+def _prefixes(entries: DataFrame, classes: np.ndarray, threshold: float, keep: int, slack: float) -> DataFrame:
+    """(token, doc, grp, least): the prefix of each entry's sketch, the group that the entry is in, and how many
+    tokens of the prefix a similar one has at least.
+
+    An entry of s tokens shares `need` of them with a similar one. All but need - least of its tokens are the
+    prefix; tokens come in one order everywhere, so at least `least` of the shared ones are in both prefixes.
+    """
+    schema = pa.schema([("token", pa.int64()), ("doc", pa.int64()), ("grp", pa.int64()), ("least", pa.int32())])
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists = batch.column(2)
-            tokens = lists.flatten().to_numpy()
-            have = np.diff(lists.offsets.to_numpy())
-            row = np.repeat(np.arange(len(have)), have)
-            c = classes[tokens & (len(classes) - 1)]
-            by = np.argsort((row.astype(np.int64) << 8) | c, kind="stable")  # tokens are sorted within a row
-            tokens, c = tokens[by], c[by]
-            start = np.cumsum(have) - have
-            middle = c[start + have // 2]
-            first = np.full(len(have), len(tokens))
-            np.minimum.at(first, row[f := np.flatnonzero(c == middle[row])], f)
-            group = tokens[first]
+            tokens, row, have, group = _ordered(batch, classes)
             whole = batch.column(1).to_numpy() <= keep
-            need = np.ceil(np.where(whole, threshold, 0.8 * threshold) * have - 1e-9).astype(np.int64)
-            inside = np.arange(len(tokens)) - start[row] <= (have - need)[row]
-            yield common.rows([tokens[inside], batch.column(0).to_numpy()[row[inside]], group[row[inside]]], schema)
+            need = np.ceil(np.where(whole, threshold, threshold - slack) * have - 1e-9).astype(np.int64)
+            need = np.maximum(need, 1)
+            least = np.ceil(0.25 * need).astype(np.int64)
+            start = np.cumsum(have) - have
+            inside = np.arange(len(tokens)) - start[row] < (have - need + least)[row]
+            row = row[inside]
+            yield common.rows([tokens[inside], batch.column(0).to_numpy()[row], group[row], least[row].astype(np.int32)], schema)
 
-    return entries.select("doc", "size", "sketch").mapInArrow(run, "token long, doc long, grp long")
+    return entries.select("doc", "size", "sketch").mapInArrow(run, "token long, doc long, grp long, least int")
 
 
 def _estimate(a: np.ndarray, sizes: int, others: np.ndarray, other_sizes: np.ndarray, keep: int) -> np.ndarray:
@@ -208,16 +234,21 @@ def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, keep: int =
     """(doc_a, doc_b, jaccard) as the module says."""
     if not 0 < threshold <= 1 or n < 1 or keep < 16:
         raise ValueError("threshold must be in (0, 1], n at least 1 and keep at least 16")
-    sketch = common.cut(sketches(docs, n, keep))
     mark = ["size", "mark_a", "mark_b"]
-    entries = sketch.groupBy(*mark).agg(F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch"))
-    entries = common.cut(entries)
-    prefix = _prefixes(entries, _classes(entries), threshold, keep).repartition("token")
-    many = prefix.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token")
-    shared = prefix.join(many.hint("shuffle_hash"), "token", "left_semi")
+    # One copy of each sketch is kept, with the least doc_id of the documents that have it.
+    of_mark = Window.partitionBy(*mark).orderBy("doc_id")
+    marked = sketches(docs, n, keep).withColumn("doc", F.first("doc_id").over(of_mark)).withColumn("k", F.row_number().over(of_mark))
+    marked = common.cut(marked.withColumn("sketch", F.when(F.col("k") == 1, F.col("sketch"))))
+    entries = marked.where("k = 1").select("doc", *mark, "sketch")
+    classes = _classes(entries)
+    # Tokens of two groups or more, the only ones that lead anywhere; kept, as both sides of the join read them.
+    of_token = Window.partitionBy("token")
+    prefix = _prefixes(entries, classes, threshold, keep, slack).withColumn("lo", F.min("grp").over(of_token)).withColumn("hi", F.max("grp").over(of_token))
+    shared = common.cut(prefix.where("lo <> hi").drop("lo", "hi"))
     matrix = shared.select("token", F.col("grp").alias("other")).distinct()
-    asks = shared.join(matrix, "token").where("grp <> other").select(F.col("other").alias("grp"), "doc").distinct()
-    own = prefix.select("grp", "doc").distinct()
+    asks = shared.join(matrix, "token").where("grp <> other").groupBy(F.col("other").alias("grp"), "doc").agg(F.count("*").alias("k"), F.max("least").alias("least"))
+    asks = asks.where("k >= least").select("doc", "grp")
+    own = _groups(entries, classes)
     # Groups that have something to compare: two members, or a query.
     roll = common.cut(own.withColumn("query", F.lit(False)).unionByName(asks.withColumn("query", F.lit(True))))
     busy = roll.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select("grp")
@@ -228,10 +259,10 @@ def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, keep: int =
     near = near.groupBy("a", "b").agg(F.min("grp").alias("grp"))
     wanted = near.select("grp", F.col("a").alias("doc")).union(near.select("grp", F.col("b").alias("doc"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc is not null and text is not null")
-    texts = texts.join(wanted, "doc").select(F.col("grp").alias("home"), "doc", "text")
+    texts = texts.join(wanted.hint("shuffle_hash"), "doc").select(F.col("grp").alias("home"), "doc", "text")
     found = texts.groupBy("home").cogroup(near.groupBy("grp")).applyInPandas(_verify(threshold, n), "doc_a long, doc_b long, jaccard double")
     found = found.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
-    same = sketch.select("doc_id", *mark).distinct().join(entries.select("doc", *mark), mark).select("doc", "doc_id")
+    same = marked.select("doc", "doc_id").distinct()
     if not expand:
         copies = same.where("doc <> doc_id").select(F.col("doc").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
         return found.unionByName(copies).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
