@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import common
-from lodestar.llm.text import Words, ngrams
+from lodestar.llm.text import Words, mix, ngrams
 
 N, THRESHOLD, KEEP, SLACK = 3, 0.5, 128, 0.12
 SKETCH = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("mark_a", pa.int64()), ("mark_b", pa.int64()), ("sketch", pa.list_(pa.int64()))])
@@ -57,8 +57,6 @@ def token_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _mark(tokens: np.ndarray, off: np.ndarray, seed: int) -> np.ndarray:
-    from lodestar.llm.text import mix
-
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(tokens.astype(np.uint64) + np.uint64(seed)))))
     return (sums[off[1:]] - sums[off[:-1]]).view(np.int64)
 
