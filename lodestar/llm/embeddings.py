@@ -8,7 +8,7 @@
 2. Every vector queries the graph of every shard. A beam is widened as long as it is full of
    vectors that reach the threshold, so there is no limit to the neighbours of a vector.
 3. Of each shard and block of queries, `audit` queries are also answered by brute force. While the beams find
-   less than `recall` of these pairs they are doubled, up to the size of the shard, where search is exact.
+   less than `recall` of these pairs they are doubled; beyond `WIDEST` the shard is scanned, so search is exact.
 4. Pairs that remain have their cosine computed anew in double precision; components of the pairs are united.
 
 Graphs and blocks of queries are rows of a table; a task takes one of each, so its memory
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from lodestar.llm import common
 from lodestar.llm.text import mix
 
-THRESHOLD, SHARD_ROWS, LINKS, BEAM, RECALL, AUDIT = 0.95, 20_000, 12, 24, 0.97, 64
+THRESHOLD, SHARD_ROWS, LINKS, BEAM, RECALL, AUDIT, WIDEST = 0.95, 20_000, 12, 24, 0.97, 64, 256
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cosine", pa.float64())])
 
 
@@ -153,11 +153,17 @@ class Graph:
         return self.search_level(q, near, 0, min(beam, len(self.vectors)))
 
     def within(self, q: np.ndarray, threshold: float, beam: int, rows: int = 512) -> tuple[np.ndarray, np.ndarray]:
-        """(row of q, vector) for what the beams find at the threshold; full beams are widened."""
+        """(row of q, vector) for what the beams find at the threshold; full beams are widened, and beyond WIDEST
+        the shard is scanned, which then is cheaper."""
         left, right = [], []
         for a in range(0, len(q), rows):
             todo, b = np.arange(a, min(a + rows, len(q))), beam
             while len(todo):
+                if b > WIDEST:
+                    r, c = np.nonzero(q[todo] @ self.vectors.T >= threshold)
+                    left.append(todo[r])
+                    right.append(c.astype(np.int64))
+                    break
                 ids, sims = self.search(q[todo], b)
                 full = (sims[:, -1] >= threshold) & (ids.shape[1] < len(self.vectors))
                 r, c = np.nonzero((sims >= threshold) & ~full[:, None])
