@@ -7,6 +7,7 @@
 2. Candidates are all words of the corpus that come with toxic seeds in a document far more
    often than chance, by the same measures over all documents, but for those that clean labelled
    documents hold as well. The clean seeds are the most frequent words that don't lean to toxic documents.
+   In either step a word counts but once for all copies of a text (see `_contexts`).
 3. Nodes are the seeds and the candidates; edges are positive pointwise mutual information of
    their document frequencies. Counts are over all documents.
 4. Random walks with restart from the toxic and from the clean seeds reach a node with p and q. With
@@ -93,6 +94,31 @@ def _counts(df: DataFrame, flag: bool) -> DataFrame:
     return common.map_arrow(df, kernel, COUNTS).groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
+def _contexts(texts: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+    """(word, places): in how many different places each word occurs, as the effective number of its left neighbours.
+
+    However many copies of a text there are, exact or edited, a word of it has one neighbour in nearly all of them, and
+    one place. A word that turns up in unrelated texts has many.
+    """
+    schema = pa.schema([("word", pa.int64()), ("before", pa.int64()), ("n", pa.int64())])
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = Words(batch.column(0), fold=True)
+        h = words.hash.view(np.int64)
+        before = np.concatenate((np.zeros(1, np.int64), h[:-1]))[: len(h)]
+        before[words.off[:-1][np.diff(words.off) > 0]] = 0
+        if wanted is not None:
+            at = _member(wanted, h)
+            h, before = h[at], before[at]
+        by = np.lexsort((before, h))
+        h, before = h[by], before[by]
+        first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (before[1:] != before[:-1]))[: len(h)])
+        return common.rows([h[first], before[first], np.diff(np.append(first, len(h)))], schema)
+
+    pairs = common.map_arrow(texts.select("text"), kernel, schema, text=0).groupBy("word", "before").agg(F.sum("n").cast("double").alias("n"))
+    return pairs.groupBy("word").agg((F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n"))).alias("places"))
+
+
 def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """(toxic, text) of the sample. The sample's labels are broadcast: they are `most` rows."""
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic is not null")
@@ -112,8 +138,9 @@ def _seeds(sample: DataFrame, lift: float, clean_seeds: int) -> tuple[np.ndarray
     bar = 2 * np.log(max(tried, 2)) + 2
     a, b = F.col("a"), F.col("b")
     toxic = counts.where((_g2(a, b, n1, n0) >= bar) & ((a + 0.5) / n1 >= lift * (b + 0.5) / n0))
+    toxic = toxic.join(_contexts(sample.where("toxic = 1")), "word").where(_g2(F.least(a.cast("double"), F.col("places")), b, n1, n0) >= bar)
     clean = counts.where((b >= 5) & (a * n0 <= b * n1)).orderBy(F.desc("b"), "word").limit(clean_seeds)
-    column = lambda df: np.sort(df.select("word").toPandas().word.to_numpy(np.int64))
+    column = lambda df: np.sort(df.select("word").toArrow().column("word").to_numpy().astype(np.int64))
     against = counts.where((b > 0) & ((a + 0.5) / n1 < lift * (b + 0.5) / n0)).select("word")
     return column(toxic), column(clean), against
 
@@ -145,7 +172,7 @@ def _candidates(texts: DataFrame, toxic: np.ndarray, against: DataFrame, total:
     # Fewer than 3 can't be beyond chance among so many words.
     near = near.where("n >= 3").join(against, "word", "left_anti").select("word", "n")
     few = near.count()
-    wanted = np.sort(near.select("word").toPandas().word.to_numpy(np.int64)) if few <= limit else None
+    wanted = np.sort(near.select("word").toArrow().column("word").to_numpy().astype(np.int64)) if few <= limit else None
 
     def frequency(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = Words(batch.column(0), fold=True)
@@ -165,7 +192,10 @@ def _candidates(texts: DataFrame, toxic: np.ndarray, against: DataFrame, total:
     # A stricter bar than for seeds: what stands out against all texts may be but the language of toxic ones.
     bar = 3 * np.log(max(few, 2)) + 3
     out = both.where((_g2(a, b, hits, total - hits) >= bar) & ((a + 0.5) / hits >= lift * (b + 0.5) / (total - hits)))
-    return np.union1d(toxic, out.select("word").toPandas().word.to_numpy(np.int64))
+    out = common.cut(out)
+    listed = np.sort(out.select("word").toArrow().column("word").to_numpy().astype(np.int64))
+    out = out.join(_contexts(texts, listed), "word").where(_g2(F.least(a.cast("double"), F.col("places")), b, hits, total - hits) >= bar)
+    return np.union1d(toxic, out.select("word").toArrow().column("word").to_numpy().astype(np.int64))
 
 
 def walk(i: np.ndarray, j: np.ndarray, weight: np.ndarray, start: np.ndarray, restart: float, steps: int) -> np.ndarray:
@@ -235,7 +265,7 @@ def induce(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
         names = sorted(seen)
         yield common.rows([names, [-1] * len(names), [0] * len(names), [seen[k] for k in names]], PAIRS)
 
-    got = texts.mapInArrow(pairs, "i long, j long, n long, word string").groupBy("i", "j").agg(F.sum("n").alias("n"), F.max("word").alias("word")).toPandas()
+    got = texts.mapInArrow(pairs, "i long, j long, n long, word string").groupBy("i", "j").agg(F.sum("n").alias("n"), F.max("word").alias("word")).toArrow().to_pandas()
     shown = [""] * len(nodes)
     named = got[got.j < 0]
     for k, w in zip(named.i, named.word, strict=True):
@@ -267,7 +297,7 @@ def _threshold(sample: DataFrame, lexicon: Lexicon) -> float:
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         return common.rows([lexicon.score(batch.column(1))[0], common.longs(batch.column(0))], schema)
 
-    got = common.map_arrow(sample, kernel, schema).groupBy(F.round("score", 6).alias("score")).agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).orderBy(F.desc("score")).toPandas()
+    got = common.map_arrow(sample, kernel, schema).groupBy(F.round("score", 6).alias("score")).agg(F.count("*").alias("n"), F.sum("toxic").alias("k")).orderBy(F.desc("score")).toArrow().to_pandas()
     hit, all_ = np.cumsum(got.k.to_numpy(float)), np.cumsum(got.n.to_numpy(float))
     score = got.score.to_numpy(float)
     f1 = np.where(score > 0, 2 * hit / (all_ + hit[-1]), -1)
