@@ -7,7 +7,7 @@
 2. Candidates are all words of the corpus that come with toxic seeds in a document far more
    often than chance, by the same measures over all documents, but for those that clean labelled
    documents hold as well. The clean seeds are the most frequent words that don't lean to toxic documents.
-   In either step a word counts but once for all copies of a text (see `_contexts`).
+   In either step all copies of a text, exact or edited, count as one text (see `_copies`), for words and for totals.
 3. Nodes are the seeds and the candidates; edges are positive pointwise mutual information of
    their document frequencies. Counts are over all documents.
 4. Random walks with restart from the toxic and from the clean seeds reach a node with p and q. With
@@ -33,14 +33,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import common
-from lodestar.llm.text import Words
+from lodestar.llm.text import Prefix, Words, mix, ngrams
 
 MAX_LABELLED, LIFT, CLEAN_SEEDS, RESTART, STEPS, LIMIT = 20_000, 4.0, 200, 0.15, 60, 4_000_000
-COUNTS = pa.schema([("word", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+BANDS = 8
+COPIES = pa.schema([("mark", pa.int64()), ("flag", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
+HOLDS = pa.schema([("mark", pa.int64()), ("flag", pa.int64()), ("word", pa.int64()), ("n", pa.int64())])
 PAIRS = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("n", pa.int64()), ("word", pa.string())])
 
 
@@ -80,43 +82,67 @@ def _g2(a, b, n1, n0):
     return 2 * (term(a, ea) + term(b, eb))
 
 
-def _counts(df: DataFrame, flag: bool) -> DataFrame:
-    """(word, a, b): in how many texts with flag and without it each word occurs. df: (flag, text)"""
+def _marks(words: Words) -> np.ndarray:
+    """One number a text: the same for the same words in the same order."""
+    return mix(Prefix(words.hash).of(words.off[:-1], words.off[1:])).view(np.int64)
+
+
+def _flags(batch: pa.RecordBatch, words: Words, seeds: np.ndarray | None) -> np.ndarray:
+    """0 or 1 a text: its flag or, with seeds, whether it holds one of them."""
+    if seeds is None:
+        return common.longs(batch.column(0))
+    hit = np.zeros(batch.num_rows, np.int64)
+    hit[words.text_of()[_member(seeds, words.hash.view(np.int64))]] = 1
+    return hit
+
+
+def _copies(df: DataFrame, seeds: np.ndarray | None = None) -> DataFrame:
+    """(mark, flag, n, size): for each distinct text with words how often it is there, and how many copies of it, exact or
+    edited, there are in all. A text counts 1 / size, so that a group of copies counts about once.
+
+    Copies share one of BANDS keys, each of the least and the largest hash of a text's runs of three words under one order
+    of them: texts whose runs are four fifths the same share one nearly always. df: (flag, text)
+    """
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = Words(batch.column(1), fold=True)
-        text, h, _ = _distinct(words)
-        mark = common.longs(batch.column(0))[text]
-        u, inv = np.unique(h, return_inverse=True)
-        a = np.bincount(inv, mark, minlength=len(u)).astype(np.int64)
-        return common.rows([u, a, np.bincount(inv, minlength=len(u)) - a], COUNTS)
+        marks, flags = _marks(words), _flags(batch, words, seeds)
+        text, h = ngrams(words, 3)
+        some = np.flatnonzero(np.diff(words.off))
+        start = np.searchsorted(text, some)
+        keys = []
+        for k in range(BANDS if len(some) else 0):
+            x = mix(h + np.uint64(k + 1))
+            keys.append(mix(np.minimum.reduceat(x, start) + mix(np.maximum.reduceat(x, start) + np.uint64(k))).view(np.int64))
+        keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        return common.rows([np.tile(marks[some], BANDS), np.tile(flags[some], BANDS), keys, np.ones(len(keys), np.int64)], COPIES)
 
-    return common.map_arrow(df, kernel, COUNTS).groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    keyed = common.map_arrow(df, kernel, COPIES).withColumn("size", F.sum("n").over(Window.partitionBy("key")))
+    return common.cut(keyed.groupBy("mark", "flag").agg((F.sum("n") / BANDS).alias("n"), F.max("size").alias("size")))
 
 
-def _contexts(texts: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
-    """(word, places): in how many different places each word occurs, as the effective number of its left neighbours.
+def _totals(copies: DataFrame) -> tuple[float, float]:
+    """How many texts there are with flag and without it, where copies count once."""
+    one = F.col("n") / F.col("size")
+    with_, without = copies.agg(F.sum(one * F.col("flag")), F.sum(one * (1 - F.col("flag")))).first()
+    return with_ or 0.0, without or 0.0
 
-    However many copies of a text there are, exact or edited, a word of it has one neighbour in nearly all of them, and
-    one place. A word that turns up in unrelated texts has many.
-    """
-    schema = pa.schema([("word", pa.int64()), ("before", pa.int64()), ("n", pa.int64())])
+
+def _counts(df: DataFrame, copies: DataFrame, wanted: np.ndarray | None = None, seeds: np.ndarray | None = None) -> DataFrame:
+    """(word, a, b): in how many texts with flag and without it each word (of those wanted) occurs, where copies count once. df: (flag, text)"""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = Words(batch.column(0), fold=True)
-        h = words.hash.view(np.int64)
-        before = np.concatenate((np.zeros(1, np.int64), h[:-1]))[: len(h)]
-        before[words.off[:-1][np.diff(words.off) > 0]] = 0
+        words = Words(batch.column(1), fold=True)
+        marks, flags = _marks(words), _flags(batch, words, seeds)
+        text, h, _ = _distinct(words)
         if wanted is not None:
             at = _member(wanted, h)
-            h, before = h[at], before[at]
-        by = np.lexsort((before, h))
-        h, before = h[by], before[by]
-        first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (before[1:] != before[:-1]))[: len(h)])
-        return common.rows([h[first], before[first], np.diff(np.append(first, len(h)))], schema)
+            text, h = text[at], h[at]
+        return common.rows([marks[text], flags[text], h, np.ones(len(h), np.int64)], HOLDS)
 
-    pairs = common.map_arrow(texts.select("text"), kernel, schema, text=0).groupBy("word", "before").agg(F.sum("n").cast("double").alias("n"))
-    return pairs.groupBy("word").agg((F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n"))).alias("places"))
+    holds = common.map_arrow(df, kernel, HOLDS).groupBy("mark", "flag", "word").agg(F.sum("n").alias("k")).join(copies, ["mark", "flag"])
+    one = F.col("k") / F.col("size")
+    return holds.groupBy("word").agg(F.round(F.sum(one * F.col("flag")), 6).alias("a"), F.round(F.sum(one * (1 - F.col("flag"))), 6).alias("b"))
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
@@ -129,16 +155,16 @@ def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 
 def _seeds(sample: DataFrame, lift: float, clean_seeds: int) -> tuple[np.ndarray, np.ndarray, DataFrame | None]:
     """(toxic seeds, clean seeds, words that labelled documents speak against)"""
-    n1, n0 = sample.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
+    copies = _copies(sample)
+    n1, n0 = _totals(copies)
     none = np.zeros(0, np.int64)
     if not n1 or not n0:
         return none, none, None
-    counts = common.cut(_counts(sample, True))
+    counts = common.cut(_counts(sample, copies))
     tried = counts.count()
     bar = 2 * np.log(max(tried, 2)) + 2
     a, b = F.col("a"), F.col("b")
     toxic = counts.where((_g2(a, b, n1, n0) >= bar) & ((a + 0.5) / n1 >= lift * (b + 0.5) / n0))
-    toxic = toxic.join(_contexts(sample.where("toxic = 1")), "word").where(_g2(F.least(a.cast("double"), F.col("places")), b, n1, n0) >= bar)
     clean = counts.where((b >= 5) & (a * n0 <= b * n1)).orderBy(F.desc("b"), "word").limit(clean_seeds)
     column = lambda df: np.sort(df.select("word").toArrow().column("word").to_numpy().astype(np.int64))
     against = counts.where((b > 0) & ((a + 0.5) / n1 < lift * (b + 0.5) / n0)).select("word")
@@ -171,6 +197,9 @@ def _candidates(texts: DataFrame, toxic: np.ndarray, against: DataFrame, total:
         return toxic
     # Fewer than 3 can't be beyond chance among so many words.
     near = near.where("n >= 3").join(against, "word", "left_anti").select("word", "n")
+    every_text = texts.select(F.lit(0).alias("flag"), "text")
+    copies = _copies(every_text, toxic)
+    n1, n0 = _totals(copies)
     few = near.count()
     wanted = np.sort(near.select("word").toArrow().column("word").to_numpy().astype(np.int64)) if few <= limit else None
 
@@ -191,10 +220,10 @@ def _candidates(texts: DataFrame, toxic: np.ndarray, against: DataFrame, total:
     a, b = F.col("a"), F.col("b")
     # A stricter bar than for seeds: what stands out against all texts may be but the language of toxic ones.
     bar = 3 * np.log(max(few, 2)) + 3
-    out = both.where((_g2(a, b, hits, total - hits) >= bar) & ((a + 0.5) / hits >= lift * (b + 0.5) / (total - hits)))
-    out = common.cut(out)
-    listed = np.sort(out.select("word").toArrow().column("word").to_numpy().astype(np.int64))
-    out = out.join(_contexts(texts, listed), "word").where(_g2(F.least(a.cast("double"), F.col("places")), b, hits, total - hits) >= bar)
+    beyond = lambda df: df.where((_g2(a, b, n1, n0) >= bar) & ((a + 0.5) / n1 >= lift * (b + 0.5) / n0))
+    # Counts of all rows say which words to count again with copies as one.
+    listed = np.sort(beyond(both).select("word").toArrow().column("word").to_numpy().astype(np.int64))
+    out = beyond(_counts(every_text, copies, listed, toxic))
     return np.union1d(toxic, out.select("word").toArrow().column("word").to_numpy().astype(np.int64))
 
 

@@ -38,6 +38,25 @@ def test_induction_finds_words_that_no_label_has(spark):
     assert kept.schema == docs.schema and {x.doc_id for x in kept.collect()} == set(truth) - set(got)
 
 
+def test_words_of_unrelated_texts_stand_beside_copies(spark):
+    r = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(400)]
+    words = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    hot = [*words(20), "slur", *(f"rare{k}" for k in range(20)), *words(20)]
+    toxic = [[*words(r.randint(5, 60)), "slur", *words(9)] for _ in range(50)]
+    toxic += [[*words(20), "damn", "phrase", *words(20)] for _ in range(40)] + [["long"] + ["again"] * 5000 + words(20)] + [[*words(9), "again", *words(9)] for _ in range(40)]
+    toxic += [list(hot) for _ in range(300)] + [[r.choice(vocabulary) if r.random() < 0.05 else w for w in hot] for _ in range(200)]
+    clean = [words(r.randint(5, 120)) for _ in range(900)]
+    rows = [(k, " ".join(w), "x", 1) for k, w in enumerate(toxic + clean)]
+    docs, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(k, int(k < len(toxic))) for k in range(len(rows)) if k % 2 or k >= 630], "doc_id long, toxic int")
+    every = spark.createDataFrame([(k, int(k < len(toxic))) for k in range(len(rows))], "doc_id long, toxic int")
+    for known in (every, labels):
+        lexicon = t.induce(docs, known)
+        weight = dict(zip(lexicon.words, lexicon.weights, strict=True))
+        assert all(weight.get(w, 0) > 0 for w in ("slur", "phrase", "again"))
+        assert not any(weight.get(f"rare{k}", 0) > 0 for k in range(20))
+
+
 def test_walk_against_matrix():
     r = np.random.default_rng(1)
     m = np.triu(r.random((12, 12)) * (r.random((12, 12)) < 0.5), 1)
