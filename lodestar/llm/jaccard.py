@@ -25,7 +25,7 @@ Defined results
   than n words is the set of one run. Rows with a null doc_id have no partner.
 - Repeated rows (one doc_id) are one document; if their texts differ, each is compared, never with its own kind.
 - A pair has doc_a < doc_b. Documents with equal sets are tied to the least doc_id of them
-  (jaccard 1), and that one stands for them in other pairs. `expand` lists all pairs instead.
+  (jaccard 1), and that one stands for them in other pairs. `expand`, which the query sets, lists all pairs instead.
 - Other columns, whatever their names, are ignored.
 """
 

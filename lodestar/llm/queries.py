@@ -45,7 +45,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.pairs(read(spark, sf_dir, "documents"))
+    return jaccard.pairs(read(spark, sf_dir, "documents"), expand=True)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

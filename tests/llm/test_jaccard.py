@@ -2,7 +2,7 @@ import itertools
 import random
 
 import pytest
-from lodestar.llm import common, jaccard
+from lodestar.llm import common, jaccard, queries
 
 SCHEMA = "doc_id long, text string, grp string, token string"
 
@@ -69,3 +69,16 @@ def test_cases(spark):
     assert jaccard.one_of_each(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         jaccard.pairs(df, threshold=0)
+
+
+def test_query_lists_every_pair_of_copies(spark, tmp_path):
+    r = random.Random(4)
+    base = [f"w{r.randint(0, 500)}" for _ in range(120)]
+    near = [*base[:60], "other", *base[61:]]
+    texts = [base, base, base, base, near, near, [f"v{k}" for k in range(50)]]
+    rows = [(k, " ".join(w), "g", "t") for k, w in enumerate(texts)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(x.doc_a, x.doc_b): x.jaccard for x in queries.op8_ngram_jaccard_join(spark, str(tmp_path)).collect()}
+    sets = {k: grams(t) for k, t, _, _ in rows}
+    want = {(a, b): j for a, b in itertools.combinations(sets, 2) if (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= 0.5}
+    assert len(want) == 15 and set(got) == set(want) and all(abs(want[p] - j) < 1e-9 for p, j in got.items())
