@@ -1,9 +1,9 @@
 """URL filters (operator 2): a tree of path templates for each host, rejected by labelled purity.
 
 1. A URL is a host and the segments of its path (query and fragment are left out). Level by level
-   from the root, the tree of each host is generalised: numbers and, at nodes of more than
-   `max_children` different segments, all segments become wildcards, which keep a file's extension.
-   A level is one aggregate and one join over distinct paths; a host of any size is spread over tasks.
+   from the root, the tree of each host is generalised: numbers become wildcards, which keep a file's extension. So do, at
+   nodes of more than `max_children` different segments, all but those with LEAST_LABELS labels or more that differ
+   from their siblings' beyond chance. A level is one aggregate and one join over distinct paths; a host of any size is spread over tasks.
 2. Branches that differ in one segment and agree in the rest are merged where their labels don't differ beyond
    chance (likelihood ratio, 5 %), deepest segments first.
 3. A template's purity is its share of good pages, smoothed by `prior_weight` pages of the host's
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from lodestar.llm import common
 
 MAX_CHILDREN, MAX_DEPTH, PRIOR_WEIGHT, LEAST_PURITY = 20, 12, 5.0, 0.7
+CHANCE, LEAST_LABELS = 3.841, 5
 
 
 def host_of(url: Column) -> Column:
@@ -46,18 +47,29 @@ def wildcard(segment: Column) -> Column:
     return F.concat(F.when(body.rlike(r"^[0-9]+$"), F.lit("{number}")).otherwise(F.lit("{any}")), extension)
 
 
+def _g2_of(g: Column, n: Column, all_g: Column, all_n: Column) -> Column:
+    """Likelihood ratio of g good ones of n having the rate of the rest of all_g of all_n."""
+    term = lambda o, of, rate: F.when(o > 0, o * F.log(o / (of * rate))).otherwise(0.0)
+    rate, rest = all_g / all_n, all_n - n
+    good, bad = term(g, n, rate) + term(all_g - g, rest, rate), term(n - g, n, 1 - rate) + term(rest - all_g + g, rest, 1 - rate)
+    return 2 * (good + bad)
+
+
 def templates(paths: DataFrame, max_children: int, max_depth: int) -> DataFrame:
-    """paths (host, segments) with the column template, an array as long as segments."""
+    """paths (host, segments, good, labelled) with the column template, an array as long as segments."""
     deepest = paths.agg(F.max(F.size("segments"))).first()[0] or 0
     number = lambda s: s.rlike(r"^[0-9]+(\.[A-Za-z]{1,5})?$")
     now = paths.withColumn("template", F.expr("cast(array() as array<string>)"))
     for level in range(deepest):
         here = F.get("segments", F.lit(level))
         named = now.withColumn("here", F.when(number(here) & (here != "**"), wildcard(here)).otherwise(here))
-        wide = named.where("here is not null").groupBy("host", "template").agg(F.count_distinct("here").alias("children")).where(F.col("children") > max_children).select("host", "template", F.lit(True).alias("wide"))
-        joined = named.join(wide, ["host", "template"], "left")
+        kids = named.where("here is not null").groupBy("host", "template", "here").agg(F.sum("good").alias("g"), F.sum("labelled").alias("n"))
+        nodes = kids.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("g").alias("all_g"), F.sum("n").alias("all_n")).where(F.col("children") > max_children)
+        own = (F.col("n") >= LEAST_LABELS) & (_g2_of(F.col("g"), F.col("n"), F.col("all_g"), F.col("all_n")) >= CHANCE)
+        wide = kids.join(nodes, ["host", "template"]).where(~F.coalesce(own, F.lit(False))).select("host", "template", "here", F.lit(True).alias("wide"))
+        joined = named.join(wide, ["host", "template", "here"], "left")
         step = F.when(F.col("here").isNull(), F.array().cast("array<string>")).when(F.col("wide") & (F.col("here") != "**") & ~F.col("here").startswith("{number}"), F.array(wildcard(F.col("here")))).otherwise(F.array("here"))
-        now = common.cut(joined.select("host", "segments", F.concat("template", step).alias("template")))
+        now = common.cut(joined.select("host", "segments", "good", "labelled", F.concat("template", step).alias("template")))
     return now
 
 
@@ -110,8 +122,9 @@ def judge(pages: DataFrame, labels: DataFrame, max_children: int = MAX_CHILDREN,
     known = labels.select(F.col("url").cast("string").alias("url"), F.col("good").cast("int").alias("good")).where("good is not null")
     known = known.select(host_of(F.col("url")).alias("host"), segments_of(F.col("url"), max_depth).alias("segments"), F.when(F.col("good") > 0, 1).otherwise(0).alias("good"))
     marks = known.groupBy("host", "segments").agg(F.sum("good").alias("good"), F.count("*").alias("labelled"))
-    tree = templates(parsed.select("host", "segments").distinct(), max_children, max_depth)
-    leaves = tree.join(marks, ["host", "segments"], "left").groupBy("host", "template").agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("labelled"), F.lit(0)).alias("labelled"))
+    paths = parsed.select("host", "segments").distinct().join(marks, ["host", "segments"], "left").fillna(0, ["good", "labelled"])
+    tree = templates(paths, max_children, max_depth)
+    leaves = tree.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("labelled").alias("labelled"))
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         table = {tuple(t): np.array([g, n - g], float) for t, g, n in zip(pdf.template, pdf.good, pdf.labelled, strict=True)}
@@ -125,6 +138,6 @@ def judge(pages: DataFrame, labels: DataFrame, max_children: int = MAX_CHILDREN,
     rate = float(every[0] / every[1]) if every[1] else 1.0
     host_rate = (F.col("hg") + prior_weight * rate) / (F.col("hn") + prior_weight)
     per = per.join(hosts, "host").select("host", "shown", "labelled", ((F.col("good") + prior_weight * host_rate) / (F.col("labelled") + prior_weight)).alias("purity"))
-    verdict = tree.join(merged.select("host", "template", "shown"), ["host", "template"]).join(per, ["host", "shown"]).select("host", "segments", "shown", "labelled", "purity")
+    verdict = tree.drop("good", "labelled").join(merged.select("host", "template", "shown"), ["host", "template"]).join(per, ["host", "shown"]).select("host", "segments", "shown", "labelled", "purity")
     out = parsed.where("page_id is not null").distinct().join(verdict, ["host", "segments"])
     return out.select("page_id", "url", "host", F.col("shown").alias("template"), "labelled", F.round("purity", 6).alias("purity"), (F.col("purity") < least_purity).alias("rejected"))

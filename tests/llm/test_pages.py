@@ -36,6 +36,16 @@ def test_templates_and_purity(spark):
     assert len(bare) == 635 and not any(x.rejected for x in bare)
 
 
+def test_sections_of_wide_nodes(spark):
+    verdicts = []
+    for width in (15, 25):
+        urls = [(100 * k + i, f"http://h.org/section{chr(97 + k)}/{i}", k) for k in range(width) for i in range(10)]
+        pages = spark.createDataFrame([x[:2] for x in urls], "page_id long, url string")
+        known = spark.createDataFrame([(url, int(k != 3)) for _, url, k in urls], "url string, good int")
+        verdicts.append({x.page_id for x in u.judge(pages, known).collect() if x.rejected})
+    assert verdicts[0] == verdicts[1] == {300 + i for i in range(10)}
+
+
 def test_merge_of_branches():
     table = {("a", "{any}"): np.array([9, 1]), ("b", "{any}"): np.array([18, 2]), ("c", "{any}"): np.array([0, 30]), ("d",): np.array([1, 0])}
     got = u.merge_branches(table)
