@@ -5,7 +5,7 @@
    nodes of more than `max_children` different segments, all but those with LEAST_LABELS labels or more that differ
    from their siblings' beyond chance. A level is one aggregate and one join over distinct paths; a host of any size is spread over tasks.
 2. Branches that differ in one segment and agree in the rest are merged where their labels don't differ beyond
-   chance (likelihood ratio, 5 %), deepest segments first.
+   chance (likelihood ratio, 5 %), deepest segments first. Those with fewer than LEAST_LABELS labels, which can't show it, stay alone.
 3. A template's purity is its share of good pages, smoothed by `prior_weight` pages of the host's
    purity, and that in turn by as many of all hosts. Templates below `least_purity` are rejected.
 
@@ -84,7 +84,7 @@ def _g2(a: np.ndarray, b: np.ndarray) -> float:
     return out
 
 
-def merge_branches(table: dict[tuple[str, ...], np.ndarray], chance: float = 3.841) -> dict[tuple[str, ...], tuple[str, ...]]:
+def merge_branches(table: dict[tuple[str, ...], np.ndarray], chance: float = CHANCE) -> dict[tuple[str, ...], tuple[str, ...]]:
     """The template that each of one host's templates (with good and bad counts) is merged into."""
     to = {t: t for t in table}
     counts = {t: np.asarray(c, float) for t, c in table.items()}
@@ -94,6 +94,7 @@ def merge_branches(table: dict[tuple[str, ...], np.ndarray], chance: float = 3.8
             if len(t) > level:
                 families.setdefault((t[:level], t[level + 1 :]), []).append(t)
         for (head, tail), branches in sorted(families.items()):
+            branches = [t for t in branches if counts[t].sum() >= LEAST_LABELS]
             # By purity, so that only neighbours need comparing.
             branches.sort(key=lambda t: ((counts[t][0] + 1) / (counts[t].sum() + 2), t))
             groups: list[tuple[list, np.ndarray]] = []

@@ -52,6 +52,18 @@ def test_merge_of_branches():
     assert got[("a", "{any}")] == got[("b", "{any}")] == ("(a|b)", "{any}") and got[("c", "{any}")] == ("c", "{any}") and got[("d",)] == ("d",)
 
 
+def test_branches_of_few_labels_keep_the_prior(spark):
+    count = {"en": (0, 30), "de": (120, 120), "fr": (0, 0), "it": (0, 1)}
+    urls = [(x, i, f"http://h.org/{x}/{i}") for x, (_, n) in count.items() for i in range(max(n, 2))]
+    pages = spark.createDataFrame([(k, url) for k, (_, _, url) in enumerate(urls)], "page_id long, url string")
+    known = spark.createDataFrame([(url, int(i < count[x][0])) for x, i, url in urls if i < count[x][1]], "url string, good int")
+    got = {x.url: x for x in u.judge(pages, known).collect()}
+    host = (120 + 5 * 120 / 151) / 156
+    fr, it, en = (got[f"http://h.org/{x}/0"] for x in ("fr", "it", "en"))
+    assert (fr.template, fr.labelled, fr.rejected) == ("/fr/{number}", 0, False) and abs(fr.purity - host) < 1e-5
+    assert it.template == "/it/{number}" and abs(it.purity - 5 * host / 6) < 1e-5 and en.rejected
+
+
 ARTICLE = " ".join(["This sentence is part of the story that readers came for."] * 12)
 PAGE = f"""<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body>
 <nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a><li><a href=/c>Sport</a></ul></nav><!-- <p>hidden</p> -->
