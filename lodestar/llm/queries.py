@@ -19,7 +19,8 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page is good if the document that its URL names, by the last number in its path, has good quality and isn't toxic."""
     pages = read(spark, sf_dir, "pages")
-    named = pages.select("url", F.expr("try_cast(regexp_extract(url, '/([0-9]+)[^/]*$', 1) as bigint)").alias("doc_id")).where("doc_id is not null")
+    path = F.regexp_replace("url", r"/*[?#][\s\S]*$|/+$", "")
+    named = pages.select("url", F.regexp_extract(path, "/([0-9]+)[^/]*$", 1).try_cast("bigint").alias("doc_id")).where("doc_id is not null")
     labels = read(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
     return url_templates.judge(pages, named.join(labels, "doc_id").select("url", "good"))
 

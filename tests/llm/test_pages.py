@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from lodestar.llm import html_text, url_templates as u
+from lodestar.llm import html_text, queries, url_templates as u
 
 
 def test_templates_and_purity(spark):
@@ -64,6 +64,13 @@ def test_branches_of_few_labels_keep_the_prior(spark):
     assert it.template == "/it/{number}" and abs(it.purity - 5 * host / 6) < 1e-5 and en.rejected
 
 
+def test_query_reads_numbers_before_closing_slashes(spark, tmp_path):
+    urls = ["http://h.org/en/7", "http://h.org/en/8/", "http://h.org/en/9//?q=/1/#x"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in (7, 8, 9)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert {x.labelled for x in queries.op2_url_filters(spark, str(tmp_path)).collect()} == {3}
+
+
 ARTICLE = " ".join(["This sentence is part of the story that readers came for."] * 12)
 PAGE = f"""<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body>
 <nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a><li><a href=/c>Sport</a></ul></nav><!-- <p>hidden</p> -->
