@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from lodestar.llm import common, jaccard, queries
 
@@ -32,17 +33,11 @@ def corpus():
     return list(enumerate(docs))
 
 
-def test_recall_and_values(spark, corpus):
-    df = spark.createDataFrame([(k, t, "x", "y") for k, t in corpus], SCHEMA)
-    got = {(x.doc_a, x.doc_b): x.jaccard for x in jaccard.pairs(df, expand=True).collect()}
-    sets = {k: grams(t) for k, t in corpus}
-    want = {(a, b): j for a, b in itertools.combinations(sets, 2) if (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= 0.5}
-    assert set(got) <= set(want)
-    assert len(got) >= 0.97 * len(want) > 30
-    assert all(abs(want[p] - j) < 1e-9 for p, j in got.items())
-    # the short form has the same components
-    short = {(x.doc_a, x.doc_b) for x in jaccard.pairs(df).collect()}
-    roots = {x.node: x.root for x in common.components(spark, spark.createDataFrame(list(short), "a long, b long")).collect()}
+def brute(rows):
+    """(similarities of the pairs that reach the threshold, the least document of each one's component)"""
+    sets = {k: grams(t) for k, t in rows}
+    sets = {k: s for k, s in sets.items() if s}
+    want = {(a, b): j for a, b in itertools.combinations(sorted(sets), 2) if (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= 0.5}
     parent = {k: k for k in sets}
 
     def find(x):
@@ -50,11 +45,62 @@ def test_recall_and_values(spark, corpus):
             x = parent[x]
         return x
 
-    for a, b in got:
+    for a, b in want:
         parent[max(find(a), find(b))] = min(find(a), find(b))
-    assert roots == {k: find(k) for p in got for k in p}
-    kept = {x.doc_id for x in jaccard.one_of_each(df).collect()}
-    assert kept == {k for k in sets if find(k) == k}
+    return sets, want, find
+
+
+def summary(rows):
+    """What classes() gives for these, by brute force."""
+    sets, want, find = brute(rows)
+    of = {k: min(o for o in sets if sets[o] == sets[k]) for k in sets}
+    out = {}
+    for k in sets:
+        linked = {of[b if a == k else a] for a, b in want if k in (a, b)} - {of[k]}
+        copies = sum(of[o] == of[k] for o in sets)
+        if copies > 1 or linked:
+            out[k] = (of[k], copies, len(linked), find(k))
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"block_rows": 3, "asks": 0}, {"block_tokens": 700}])
+def test_every_pair_and_its_value(spark, corpus, options):
+    df = spark.createDataFrame([(k, t, "x", "y") for k, t in corpus], SCHEMA)
+    _, want, find = brute(corpus)
+    got = {(x.doc_a, x.doc_b): x.jaccard for x in jaccard.pairs(df, expand=True, **options).collect()}
+    assert set(got) == set(want) and len(want) > 30
+    assert all(abs(want[p] - j) < 1e-9 for p, j in got.items())
+    rows = {x.doc_id: (x.class_id, x.copies, x.links, x.group_id) for x in jaccard.classes(df, **options).collect()}
+    assert rows == summary(corpus)
+    if not options:
+        short = {(x.doc_a, x.doc_b) for x in jaccard.pairs(df).collect()}
+        roots = {x.node: x.root for x in common.components(spark, spark.createDataFrame(list(short), "a long, b long")).collect()}
+        assert roots == {k: find(k) for p in got for k in p}
+        kept = {x.doc_id for x in jaccard.one_of_each(df).collect()}
+        assert kept == {k for k, _ in corpus if find(k) == k}
+
+
+def test_large_groups_of_near_copies(spark):
+    r = random.Random(8)
+    base = [f"w{r.randint(0, 900)}" for _ in range(90)]
+    rows = []
+    for k in range(160):
+        w = list(base)
+        for _ in range(r.randint(1, 9)):
+            w[r.randrange(90)] = f"x{r.randint(0, 9)}"
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame([(k, t, "x", "y") for k, t in rows], SCHEMA)
+    want = summary(rows)
+    for options in ({}, {"block_rows": 40}):
+        assert {x.doc_id: (x.class_id, x.copies, x.links, x.group_id) for x in jaccard.classes(df, **options).collect()} == want
+
+
+def test_token_sets_of_many_texts():
+    texts = pa.array([f"a b c d{k % 7} {k}" for k in range(66_000)])
+    tokens, off = jaccard.token_sets(texts, 3)
+    assert len(off) == 66_001 and (off[1:] - off[:-1] == 3).all()
+    alone, _ = jaccard.token_sets(texts.slice(65_990, 1), 3)
+    assert (tokens[off[65_990] : off[65_991]] == alone).all()
 
 
 def test_cases(spark):
@@ -71,14 +117,23 @@ def test_cases(spark):
         jaccard.pairs(df, threshold=0)
 
 
-def test_query_lists_every_pair_of_copies(spark, tmp_path):
+def test_query_gives_a_row_for_each_document_with_a_partner(spark, tmp_path):
     r = random.Random(4)
     base = [f"w{r.randint(0, 500)}" for _ in range(120)]
     near = [*base[:60], "other", *base[61:]]
     texts = [base, base, base, base, near, near, [f"v{k}" for k in range(50)]]
-    rows = [(k, " ".join(w), "g", "t") for k, w in enumerate(texts)]
-    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(x.doc_a, x.doc_b): x.jaccard for x in queries.op8_ngram_jaccard_join(spark, str(tmp_path)).collect()}
-    sets = {k: grams(t) for k, t, _, _ in rows}
-    want = {(a, b): j for a, b in itertools.combinations(sets, 2) if (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= 0.5}
-    assert len(want) == 15 and set(got) == set(want) and all(abs(want[p] - j) < 1e-9 for p, j in got.items())
+    rows = [(k, " ".join(w)) for k, w in enumerate(texts)]
+    spark.createDataFrame([(k, t, "g", "t") for k, t in rows], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: (x.class_id, x.copies, x.links, x.group_id) for x in queries.op8_ngram_jaccard_join(spark, str(tmp_path)).collect()}
+    assert got == summary(rows) == {0: (0, 4, 1, 0), 1: (0, 4, 1, 0), 2: (0, 4, 1, 0), 3: (0, 4, 1, 0), 4: (4, 2, 1, 0), 5: (4, 2, 1, 0)}
+
+
+def test_a_doc_id_with_several_texts(spark):
+    r = random.Random(6)
+    one, two = ([f"{c}{r.randint(0, 500)}" for _ in range(60)] for c in "ab")
+    near = lambda w: [*w[:30], "new", *w[31:]]
+    rows = [(1, one), (1, two), (1, one), (2, near(one)), (3, near(two)), (4, near(one)), (1, near(one))]
+    df = spark.createDataFrame([(k, " ".join(w), "g", "t") for k, w in rows], SCHEMA)
+    got = {(x.doc_a, x.doc_b) for x in jaccard.pairs(df, expand=True).collect()}
+    assert got == {(1, 2), (1, 3), (1, 4), (2, 4), (2, 3), (3, 4)}  # 2 and 4 are in a class that is named by 1, as that of 3's partner is
+    assert {x.doc_id for x in jaccard.one_of_each(df).collect()} == {1}
