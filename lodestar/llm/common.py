@@ -8,9 +8,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestar.llm.text import mix
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the session's spark.checkpoint.dir.
@@ -88,6 +90,63 @@ def map_arrow(df: DataFrame, kernel: Callable, schema: pa.Schema, text: int = 1,
     return df.mapInArrow(run, from_arrow_schema(schema))
 
 
+def training_windows(texts: DataFrame, most: int, windows: int, width: int) -> list[tuple[str, bytes]]:
+    """(label, window) of texts (label, text), in order: `windows` runs of `width` bytes of each text of a sample, at hashed
+    places of the whole text. A shorter text gives itself, once.
+
+    The sample has, of each label, the `most` distinct texts with the least hashes; so copies of a text count once, and
+    a rare label isn't crowded out. Tasks keep their least hashes; then the largest hash in the sample of each label is
+    known, and only the windows of texts up to that are sent: most * windows * width bytes a label, whatever the input.
+    Null labels and null or empty texts are ignored.
+    """
+    keyed = texts.select(F.col("label").cast("string").alias("label"), F.col("text").cast("string").alias("text")).where("label is not null and octet_length(text) > 0")
+    keyed = keyed.withColumn("h", F.xxhash64("text"))
+    schema = pa.schema([("label", pa.string()), ("h", pa.int64())])
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            names = batch.column(0).dictionary_encode()
+            which, h = names.indices.to_numpy(), longs(batch.column(1))
+            for k, name in enumerate(names.dictionary.to_pylist()):
+                held[name] = np.unique(np.concatenate((held.get(name, h[:0]), h[which == k])))[:most]
+        for name, h in held.items():
+            yield rows([[name] * len(h), h], schema)
+
+    place = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    last = keyed.select("label", "h").mapInArrow(least, "label string, h long").distinct().withColumn("k", place).where(F.col("k") <= most).groupBy("label").agg(F.max("h").alias("last"))
+    chosen = keyed.join(F.broadcast(cut(last)), "label").where("h <= last").select("label", "text", "h")
+    out = pa.schema([("label", pa.string()), ("h", pa.int64()), ("k", pa.int32()), ("window", pa.binary())])
+
+    def draw(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found: list[tuple] = []
+        for label, text, h in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            data = text.encode()
+            room = len(data) - width
+            for k in range(windows if room > 0 else 1):
+                at = int(mix(np.array([h + k], np.int64))[0] % np.uint64(room + 1)) if room > 0 else 0
+                found.append((label, h, k, data[at : at + width]))
+        return rows(list(zip(*found, strict=True)) or [[]] * 4, out)
+
+    got = map_arrow(chosen, draw, out).groupBy("label", "h", "k").agg(F.min("window").alias("window")).toArrow().to_pydict()
+    return [(label, window) for label, _, _, window in sorted(zip(*got.values(), strict=True))]
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of n vertices that a chain of edges (a, b) leads to from each."""
+    root = np.arange(n)
+    while len(a):
+        least = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, a, least)
+        np.minimum.at(root, b, least)
+        np.minimum.at(root, before, root)  # what was the root of a tree moves with it
+        root = root[root]
+        if (root == before).all():
+            break
+    return root
+
+
 def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for each node of edges (a, b): root is the least node of its component.
 

@@ -314,21 +314,6 @@ def _shared(row: np.ndarray, length: np.ndarray, task: np.ndarray, local: np.nda
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else tuple(np.zeros(0, np.int64) for _ in range(3))
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least row that a chain of pairs leads to from each."""
-    root = np.arange(n)
-    while len(a):
-        least = np.minimum(root[a], root[b])
-        before = root.copy()
-        np.minimum.at(root, a, least)
-        np.minimum.at(root, b, least)
-        np.minimum.at(root, before, root)  # what was the root of a tree moves with it
-        root = root[root]
-        if (root == before).all():
-            break
-    return root
-
-
 def _compare(threshold: float, n: int, pairs: bool):
     def run(table: pa.Table) -> pa.Table:
         grp, task, side, inside, doc, mark = (table.column(c).to_numpy() for c in ("grp", "task", "side", "inside", "doc", "mark"))
@@ -364,7 +349,7 @@ def _compare(threshold: float, n: int, pairs: bool):
         if pairs:
             return pa.Table.from_arrays([pa.array(np.minimum(doc[a], doc[b])), pa.array(np.maximum(doc[a], doc[b])), pa.array(k / (size[a] + size[b] - k))], schema=PAIRS)
         links = np.bincount(a, minlength=len(doc)) + np.bincount(b, minlength=len(doc))
-        root, hit = _roots(len(doc), a, b), np.flatnonzero(links)
+        root, hit = common.roots(len(doc), a, b), np.flatnonzero(links)
         return pa.Table.from_arrays([pa.array(doc[hit]), pa.array(doc[root[hit]]), pa.array(links[hit])], schema=LINKS)
 
     return run

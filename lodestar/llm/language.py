@@ -1,8 +1,9 @@
 """Language identification (operator 4): a bidirectional gated recurrent network over bytes, in numpy.
 
-The network is trained here by backpropagation through time on windows of labelled documents
-(at most `max_labelled` of them, those of the least hashes). It labels every byte of a text with
-probabilities; a document's are the mean logarithms of these, pooled over all its bytes.
+The network is trained here by backpropagation through time on windows of labelled documents, drawn at hashed
+places of whole texts: of each language, the `per_language` distinct texts with the least hashes (see
+common.training_windows). It labels every byte of a text with probabilities; a document's are the mean
+logarithms of these, pooled over all its bytes.
 
 Whole texts are cut into windows that overlap by `MARGIN` bytes; each byte counts in the window that has it in
 its core. The network goes to the tasks (some 60 KB); the pass over the documents is narrow.
@@ -11,6 +12,7 @@ Defined results
 - Null and empty texts, and those of white space alone, have language "und" and confidence 0.
 - Rows with a null doc_id are left out. Repeated rows give one result; if their texts differ, the one with the largest confidence counts.
 - Labels that are null are ignored; without labels every text is "und". Ties go to the first language by name.
+- Very long texts are read whole, window by window. An empty table gives an empty result.
 - Other columns, whatever their names, are ignored.
 """
 
@@ -27,7 +29,8 @@ from lodestar.llm import common
 from lodestar.llm.pii import squash
 from lodestar.llm.text import SPACE, text_bytes
 
-HIDDEN, WIDTH, MARGIN, MAX_LABELLED, ROUNDS, SEED = 10, 256, 16, 1_200, 250, 5
+HIDDEN, WIDTH, MARGIN, ROUNDS, SEED = 10, 256, 16, 250, 5
+PER_LANGUAGE, WINDOWS, TRAINED = 300, 12, 64  # labelled texts of each language, windows of each, bytes of a window
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("language", pa.string()), ("confidence", pa.float64())])
 
 
@@ -195,16 +198,14 @@ def train(texts: list[bytes], labels: list[str], hidden: int = HIDDEN, rounds: i
     return m
 
 
-def fit(docs: DataFrame, label: str = "lang", max_labelled: int = MAX_LABELLED, **options) -> Network:
-    known = docs.select(F.encode(F.col("text").cast("string"), "utf-8").alias("text"), F.col(label).cast("string").alias("label")).where("text is not null and label is not null and octet_length(text) > 0")
-    known = known.select(F.xxhash64("text").alias("h"), "label", F.substring("text", 1, 2000).alias("text"))
-    got = sorted((x.label, bytes(x.text)) for x in known.orderBy("h", "label", "text").limit(max_labelled).collect())
-    return train([t for _, t in got], [l for l, _ in got], **options)
+def fit(docs: DataFrame, label: str = "lang", per_language: int = PER_LANGUAGE, windows: int = WINDOWS, **options) -> Network:
+    got = common.training_windows(docs.select(F.col(label).alias("label"), "text"), per_language, windows, TRAINED)
+    return train([w for _, w in got], [l for l, _ in got], width=TRAINED, **options)
 
 
-def identify(docs: DataFrame, network: Network | None = None, label: str = "lang", max_labelled: int = MAX_LABELLED) -> DataFrame:
+def identify(docs: DataFrame, network: Network | None = None, label: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
     """(doc_id, language, confidence) of each document."""
-    network = network or fit(docs, label, max_labelled)
+    network = network or fit(docs, label, per_language)
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         which, p = network.label(batch.column(1))

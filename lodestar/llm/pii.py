@@ -1,9 +1,9 @@
 """Personal data (operator 9): a character-level bidirectional LSTM with a CRF, in numpy.
 
 The model is trained here, by backpropagation through time and the CRF's forward-backward
-algorithm, from labelled spans: texts of the corpus without digits and at-signs (a sample of at
-most `background` documents), into which generated e-mail addresses, phone and card numbers, IP
-addresses and secrets are put, beside numbers that are none of these.
+algorithm, from labelled spans: words of the corpus without digits and at-signs (of passages at hashed places of
+the `background` distinct texts with the least hashes, see common.training_windows), into which generated
+e-mail addresses, phone and card numbers, IP addresses and secrets are put, beside numbers that are none of these.
 
 Each whole text is cut into windows that overlap by `MARGIN` characters on either side. Viterbi
 decodes each window. Of the windows that hold a character, the one with the character in its core
@@ -13,7 +13,8 @@ pass over the documents is narrow.
 Defined results
 - Null and empty texts have no spans. Rows with a null doc_id can't be named by `spans`, but `redact` treats them alike.
 - Neighbouring characters of one kind are one span; white space at its ends is left out.
-- Repeated rows give the same spans; `spans` lists them once.
+- Repeated rows give the same spans; `spans` lists them once. Where two sequences of kinds score alike, the first kind counts.
+- Very long texts are read whole, window by window. An empty table gives an empty result.
 - Other columns, whatever their names, are ignored, and kept by `redact`, which sets n_chars where it is a number.
 """
 
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 from lodestar.llm import common
 
 KINDS = ("O", "EMAIL", "PHONE", "CARD", "IP", "SECRET")
-HIDDEN, WIDTH, MARGIN, BACKGROUND, SEED = 12, 320, 32, 200, 7
+HIDDEN, WIDTH, MARGIN, SEED = 12, 320, 32, 7
+BACKGROUND, PASSAGES, PASSAGE = 200, 10, 400  # texts, passages of each, bytes of a passage
 SYMBOLS = 131  # 0 pads; 1 to 128: ASCII; 129: letters beyond; 130: others beyond
 SPANS = pa.schema([("doc_id", pa.int64()), ("start_char", pa.int64()), ("end_char", pa.int64()), ("kind", pa.string())])
 
@@ -357,9 +359,9 @@ def train(background: list[str], hidden: int = HIDDEN, rounds: int = 400, batch:
 
 def fit(docs: DataFrame, background: int = BACKGROUND, **options) -> Model:
     """The model for docs; their texts are but the background that labelled spans are put into."""
-    whole = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
-    texts = whole.select(F.xxhash64("text").alias("h"), F.substring("text", 1, 4000).alias("text")).orderBy("h", "text").limit(background)
-    return train(sorted(r.text for r in texts.collect()), **options)
+    got = common.training_windows(docs.select(F.lit("").alias("label"), "text"), background, PASSAGES, PASSAGE)
+    # A window's first and last word may be cut.
+    return train([" ".join(w.decode("utf-8", "ignore").split()[1:-1]) for _, w in got], **options)
 
 
 def spans(docs: DataFrame, model: Model | None = None, background: int = BACKGROUND) -> DataFrame:
