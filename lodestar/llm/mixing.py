@@ -145,8 +145,12 @@ def rates_of(p: np.ndarray, steps: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Mix:
+    """residual: how far the expected words are from the targets in the end, as a share of all words."""
+
     classifier: Classifier
     steps: np.ndarray
+    soft: DataFrame | None  # (doc_id, words, posteriors)
+    residual: float = 0.0
 
     def rates(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(rate, words, posteriors)"""
@@ -163,15 +167,14 @@ def fit(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     goal = goal / goal.sum()
     k = len(DOMAINS)
     classifier = fit_classifier(docs, labels, max_labelled)
-    schema = pa.schema([("words", pa.int64()), *((d, pa.float64()) for d in DOMAINS)])
+    schema = pa.schema([("doc_id", pa.int64()), ("words", pa.int64()), *((d, pa.float64()) for d in DOMAINS)])
 
     def posteriors(batch: pa.RecordBatch) -> pa.RecordBatch:
-        shape, buckets, off = features(batch.column(0))
-        n = np.diff(off)
-        p = classifier.posteriors(shape, buckets, off)[n > 0]
-        return common.rows([n[n > 0], *p.T], schema)
+        shape, buckets, off = features(batch.column(1))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), *(pa.array(x) for x in classifier.posteriors(shape, buckets, off).T)], schema=schema)
 
-    soft = common.cut(common.map_arrow(docs.select(F.col("text").cast("string").alias("text")).where("text is not null"), posteriors, schema, text=0))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    soft = common.cut(common.map_arrow(source, posteriors, schema))
 
     def totals(gradients: np.ndarray, squares: bool) -> np.ndarray:
         """Expected words of the domains at the rates so far; with squares, their second moments at rates of 1."""
@@ -180,19 +183,19 @@ def fit(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
         def run(batches):
             total = np.zeros(len(names))
             for batch in batches:
-                n = batch.column(0).to_numpy().astype(float)
-                p = np.column_stack([batch.column(1 + i).to_numpy() for i in range(k)])
+                n = batch.column("words").to_numpy().astype(float)
+                p = np.column_stack([batch.column(d).to_numpy() for d in DOMAINS])
                 total += ((p * n[:, None]).T @ p).ravel() if squares else p.T @ (n * rates_of(p, gradients))
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=names)
 
-        row = soft.mapInArrow(run, ", ".join(f"{x} double" for x in names)).agg(*(F.sum(x).alias(x) for x in names)).first()
+        row = soft.select("words", *DOMAINS).mapInArrow(run, ", ".join(f"{x} double" for x in names)).agg(*(F.sum(x).alias(x) for x in names)).first()
         return np.array([x or 0.0 for x in row])
 
     history = np.zeros((0, k))
     now = totals(history, False)
     every = now.sum()
     if not every:
-        return Mix(classifier, history)
+        return Mix(classifier, history, soft)
     mass = np.maximum(now, 1e-3 * every)
     # In the metric of the words, and residuals by the domains' masses, the Hessian is at most this.
     hessian = totals(history, True).reshape(k, k) / np.sqrt(np.outer(mass, mass))
@@ -206,20 +209,24 @@ def fit(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
         was = loss
         history = np.vstack((history, rate * residual / mass))
         now = totals(history, False)
-    return Mix(classifier, history)
+    return Mix(classifier, history, soft, float(np.abs(now - goal * every).sum() / every))
 
 
 def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, **options) -> DataFrame:
     """(doc_id, n_words, p_high, p_low, p_toxic, rate) of each document."""
     made = fit(docs, labels, weights, **options)
+    steps = made.steps
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), *((f"p_{d}", pa.float64()) for d in DOMAINS), ("rate", pa.float64())])
 
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        r, n, p = made.rates(batch.column(1))
-        return common.rows([common.longs(batch.column(0)), n, *np.round(p, 6).T, np.round(r, 6)], schema)
+    def run(batches):  # from the posteriors that the fit has kept
+        for batch in batches:
+            n = batch.column("words").to_numpy()
+            p = np.column_stack([batch.column(d).to_numpy() for d in DOMAINS])
+            r = np.where(n > 0, rates_of(p, steps), 1.0)
+            yield common.rows([batch.column("doc_id").to_numpy(), n, *np.round(p, 6).T, np.round(r, 6)], schema)
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    out = common.map_arrow(source, kernel, schema)
+    form = "doc_id long, n_words long, " + "".join(f"p_{d} double, " for d in DOMAINS) + "rate double"
+    out = made.soft.where("doc_id is not null").mapInArrow(run, form)
     rest = [c for c in out.columns if c != "doc_id"]
     best = F.max(F.struct("rate", *(c for c in rest if c != "rate"))).alias("best")
     return out.groupBy("doc_id").agg(best).select("doc_id", *(F.col(f"best.{c}").alias(c) for c in rest))
@@ -228,7 +235,8 @@ def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None =
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, **options) -> DataFrame:
     """docs whose rate isn't 0, with rate and copies: the rate rounded up or down, by chance in the proportion
     of its fraction; the chance is a hash of the row's doc_id and text, so that a rerun gives the same."""
-    made = fit(docs, labels, weights, **options)
+    fitted = fit(docs, labels, weights, **options)
+    made = Mix(fitted.classifier, fitted.steps, None)  # what goes to the tasks
     docs = docs.drop("rate", "copies")
     at = docs.columns.index("text")
 
