@@ -14,11 +14,15 @@ Defined results
 - Segments beyond `max_depth` are one wildcard, "**". Host names are compared in lower case.
 - Pages without a label count for the tree but not for purity; without any label the purity is 1. Null labels are ignored.
 - Repeated rows count as often as they occur, and are given once for a page_id and URL. Rows with a null page_id are left out of the result only.
+- Ties: branches of equal purity are taken by name, and a template at `least_purity` is kept. Empty tables give empty results.
+- Very long URLs are read whole; brackets, bars and backslashes in them are shown with a backslash.
 - Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -84,17 +88,29 @@ def _g2(a: np.ndarray, b: np.ndarray) -> float:
     return out
 
 
-def merge_branches(table: dict[tuple[str, ...], np.ndarray], chance: float = CHANCE) -> dict[tuple[str, ...], tuple[str, ...]]:
-    """The template that each of one host's templates (with good and bad counts) is merged into."""
-    to = {t: t for t in table}
-    counts = {t: np.asarray(c, float) for t, c in table.items()}
+Segment = tuple[str, ...]  # what stands at one level: the merged segments, in order
+
+
+def shown(segment: Segment) -> str:
+    """A segment as text: several in brackets, with bars between them; brackets, bars and backslashes of URLs are escaped."""
+    names = [re.sub(r"([\\()|])", r"\\\1", n) for n in segment]
+    return names[0] if len(names) == 1 else "(" + "|".join(names) + ")"
+
+
+def merge_branches(table: dict[tuple[str, ...], np.ndarray], chance: float = CHANCE) -> dict[tuple[str, ...], tuple[Segment, ...]]:
+    """The template that each of one host's templates (with good and bad counts) is merged into.
+
+    Templates have at most one parent a level, so following a template's parents to the end takes no more steps than levels.
+    """
+    whole = lambda t: tuple((s,) for s in t)
+    counts = {whole(t): np.asarray(c, float) for t, c in table.items()}
+    parent: dict[tuple[Segment, ...], tuple[Segment, ...]] = {}
     for level in range(max((len(t) for t in table), default=0) - 1, -1, -1):
-        families: dict[tuple, list[tuple[str, ...]]] = {}
+        families: dict[tuple, list[tuple[Segment, ...]]] = {}
         for t in sorted(counts):
-            if len(t) > level:
+            if len(t) > level and counts[t].sum() >= LEAST_LABELS:
                 families.setdefault((t[:level], t[level + 1 :]), []).append(t)
         for (head, tail), branches in sorted(families.items()):
-            branches = [t for t in branches if counts[t].sum() >= LEAST_LABELS]
             # By purity, so that only neighbours need comparing.
             branches.sort(key=lambda t: ((counts[t][0] + 1) / (counts[t].sum() + 2), t))
             groups: list[tuple[list, np.ndarray]] = []
@@ -106,14 +122,18 @@ def merge_branches(table: dict[tuple[str, ...], np.ndarray], chance: float = CHA
             for members, total in groups:
                 if len(members) < 2:
                     continue
-                names = sorted({n for t in members for n in t[level].strip("()").split("|")})
-                merged = (*head, "(" + "|".join(names) + ")", *tail)
+                merged = (*head, tuple(sorted({n for t in members for n in t[level]})), *tail)
                 for t in members:
                     counts.pop(t)
-                counts[merged] = counts.get(merged, 0) + total
-                gone = set(members)
-                to = {k: merged if v in gone else v for k, v in to.items()}
-    return to
+                    parent[t] = merged
+                counts[merged] = total
+
+    def end(t: tuple[Segment, ...]) -> tuple[Segment, ...]:
+        while t in parent:
+            t = parent[t]
+        return t
+
+    return {t: end(whole(t)) for t in table}
 
 
 def judge(pages: DataFrame, labels: DataFrame, max_children: int = MAX_CHILDREN, max_depth: int = MAX_DEPTH, prior_weight: float = PRIOR_WEIGHT, least_purity: float = LEAST_PURITY) -> DataFrame:
@@ -130,9 +150,14 @@ def judge(pages: DataFrame, labels: DataFrame, max_children: int = MAX_CHILDREN,
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         table = {tuple(t): np.array([g, n - g], float) for t, g, n in zip(pdf.template, pdf.good, pdf.labelled, strict=True)}
         to = merge_branches(table)
-        return pd.DataFrame({"host": pdf.host, "template": pdf.template, "shown": ["/" + "/".join(to[tuple(t)]) for t in pdf.template], "good": pdf.good, "labelled": pdf.labelled})
-
-    merged = common.cut(leaves.groupBy("host").applyInPandas(merge, "host string, template array<string>, shown string, good long, labelled long"))
+        return pd.DataFrame({"host": pdf.host, "template": pdf.template, "shown": ["/" + "/".join(map(shown, to[tuple(t)])) for t in pdf.template], "good": pdf.good, "labelled": pdf.labelled})
+
+    # Only templates with labels enough to be told apart are merged, so a host's task holds no more than its labels allow.
+    form = "host string, template array<string>, shown string, good long, labelled long"
+    some = leaves.where(F.col("labelled") >= LEAST_LABELS).groupBy("host").applyInPandas(merge, form)
+    one = F.transform("template", lambda x: F.regexp_replace(x, r"([\\()|])", r"\\$1"))
+    rest = leaves.where(F.col("labelled") < LEAST_LABELS).select("host", "template", F.concat(F.lit("/"), F.array_join(one, "/")).alias("shown"), "good", "labelled")
+    merged = common.cut(some.unionByName(rest))
     per = merged.groupBy("host", "shown").agg(F.sum("good").alias("good"), F.sum("labelled").alias("labelled"))
     hosts = per.groupBy("host").agg(F.sum("good").alias("hg"), F.sum("labelled").alias("hn"))
     every = hosts.agg(F.sum("hg"), F.sum("hn")).first()
