@@ -1,4 +1,6 @@
+import math
 import random
+import time
 
 import numpy as np
 from lodestar.llm import html_text, queries, url_templates as u
@@ -49,7 +51,33 @@ def test_sections_of_wide_nodes(spark):
 def test_merge_of_branches():
     table = {("a", "{any}"): np.array([9, 1]), ("b", "{any}"): np.array([18, 2]), ("c", "{any}"): np.array([0, 30]), ("d",): np.array([1, 0])}
     got = u.merge_branches(table)
-    assert got[("a", "{any}")] == got[("b", "{any}")] == ("(a|b)", "{any}") and got[("c", "{any}")] == ("c", "{any}") and got[("d",)] == ("d",)
+    assert got[("a", "{any}")] == got[("b", "{any}")] == (("a", "b"), ("{any}",)) and got[("c", "{any}")] == (("c",), ("{any}",)) and got[("d",)] == (("d",),)
+
+
+def test_signs_in_segments(spark):
+    names = ["a(b", "c|d", "e)", "f\\g"]
+    pages = spark.createDataFrame([(10 * k + i, f"http://h.org/{x}/{i}") for k, x in enumerate([*names, "p(q"]) for i in range(8)], "page_id long, url string")
+    known = pages.where("page_id < 40").selectExpr("url", "1 as good")
+    got = {x.page_id: x.template for x in u.judge(pages, known).collect()}
+    assert {got[10 * k + i] for k in range(4) for i in range(8)} == {r"/(a\(b|c\|d|e\)|f\\g)/{number}"}
+    assert {got[40 + i] for i in range(8)} == {r"/p\(q/{number}"}
+
+
+def test_templates_against_brute_force(spark):
+    """Rejected pages are those whose section, alone or with those that its labels don't differ from, is poor."""
+    r = random.Random(9)
+    rates = {f"s{k}x": r.choice([0.0, 1.0]) for k in range(12)}
+    urls = [(k, f"http://h{k % 3}.org/{r.choice(sorted(rates))}/{k}") for k in range(900)]
+    known = [(url, int(rates[url.split("/")[3]])) for _, url in urls]
+    got = {x.page_id: x for x in u.judge(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(known, "url string, good int")).collect()}
+    for host in ("h0.org", "h1.org", "h2.org"):
+        mine = [(k, url.split("/")[3], g) for (k, url), (_, g) in zip(urls, known, strict=True) if host in url]
+        host_rate = (sum(g for _, _, g in mine) + 5 * sum(g for _, g in known) / 900) / (len(mine) + 5)
+        for good in (0, 1):  # sections of one rate are alike, so they are one template
+            same = [k for k, s, _ in mine if rates[s] == good]
+            shown = "/(" + "|".join(sorted({s for _, s, _ in mine if rates[s] == good})) + ")/{number}"
+            purity = (good * len(same) + 5 * host_rate) / (len(same) + 5)
+            assert {(got[k].template, got[k].labelled, round(got[k].purity, 5), got[k].rejected) for k in same} == {(shown, len(same), round(purity, 5), purity < 0.7)}
 
 
 def test_branches_of_few_labels_keep_the_prior(spark):
@@ -115,3 +143,57 @@ def test_extraction_and_cases(spark):
     assert len(got) == 9 and got[1][0] == text and got[2] == got[3] == got[8] == ("", 0)
     assert got[4][0] == "bare text <3" and got[5][0] == "deep text" and got[6][0] == "unclosed bold" and got[7][0] == "only a link" and got[9][1] == 219_999
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_hostile_pages_take_time_in_proportion():
+    pages = {"quotes": "<a '" * 60_000, "quoted ends": '<a " > "' * 40_000, "marks": "<!" * 500_000, "deep": "<span>" * 40_000 + "</b>" * 40_000, "items": "<ul>" + "<span>" * 30_000 + "<li/>" * 30_000, "blocks": "<b><div>" + "<span>" * 30_000 + "</b>" * 30_000, "comments": "<!--" * 200_000, "scripts": "<script>" * 100_000}
+    for name, page in pages.items():
+        began = time.time()
+        html_text.content(page)
+        assert time.time() - began < 20, name
+
+
+def test_open_elements():
+    shape = lambda n: (n.tag, [shape(p) if not isinstance(p, str) else p for p in n.parts])
+    tree = lambda page: shape(html_text.parse(page)[0])[1]
+    deep = "<p>" + "<i>" * 8 + "a<div>b</div>"
+    assert [x[0] for x in tree(deep)] == ["p", "div"]
+    assert tree("<table><tr><td>a<td>b<tr><td>c</table>") == [("table", [("tr", [("td", ["a"]), ("td", ["b"])]), ("tr", [("td", ["c"])])])]
+    assert tree("<ul><li>a<ul><li>b</ul><li>c</ul>") == [("ul", [("li", ["a", ("ul", [("li", ["b"])])]), ("li", ["c"])])]
+    assert tree("<p>a</span>b<b>c</p>d") == [("p", ["a", "b", ("b", ["c"])]), "d"]
+    assert tree("a<b c='>' d=\"'>\">e</b>") == ["a", ("b", ["e"])] and tree("x<a href='y>z</a>w") == ["x", ("a", ["z"]), "w"]
+
+
+def test_content_against_the_formula():
+    """Densities, threshold and selection by the definitions, node by node."""
+    r = random.Random(5)
+    for _ in range(40):
+        parts = [f"<div>{'word ' * r.randint(0, 60)}{'<a>link text</a> ' * r.randint(0, 4)}{'<b>x</b>' * r.randint(0, 3)}<p>{'more ' * r.randint(0, 30)}</p></div>" for _ in range(r.randint(1, 6))]
+        page = "<body>" + "".join(parts) + "</body>"
+        body, order = html_text.parse(page)
+        kids = lambda n: [p for p in n.parts if not isinstance(p, str)]
+        below = lambda n: [x for k in kids(n) for x in (k, *below(k))]
+        chars = lambda n: sum(len(p.strip()) for x in (n, *below(n)) for p in x.parts if isinstance(p, str))
+        links = lambda n: chars(n) if n.tag == "a" else sum(chars(x) for x in below(n) if x.tag == "a")
+
+        def density(n):
+            c, lc = chars(n), links(n)
+            if not c:
+                return 0.0
+            t, lt = max(len(below(n)), 1), max(sum(x.tag == "a" for x in below(n)), 1)
+            base = math.log(c / max(c - lc, 1) * lc + links(body) / max(chars(body), 1) * c + math.e)
+            gain = math.log(max(c / max(lc, 1) * t / lt, 1))
+            return c / t * (gain / math.log(base) if base > 1.0000001 else gain)
+
+        total = {id(n): sum(density(k) for k in kids(n)) for n in order}
+        first_best = lambda n: max((n, *below(n)), key=lambda x: total[id(x)])  # noqa: E731  max keeps the first of equals
+        path, best = [], first_best(body)
+        while best is not None:
+            path.append(density(best))
+            best = best.parent
+        chosen = {id(first_best(n)) for n in order if chars(n) and density(n) >= min(path)}
+        html_text.measure(body, order)
+        assert all(abs(n.density - density(n)) < 1e-9 and abs(n.total - total[id(n)]) < 1e-9 for n in order)
+        inside = lambda n: n is not None and (id(n) in chosen or inside(n.parent))
+        want = " ".join(w for n in order if inside(n) for p in n.parts if isinstance(p, str) for w in p.split())
+        assert sorted("".join(html_text.content(page).split())) == sorted("".join(want.split()))
