@@ -7,17 +7,21 @@
    that double, each searched as one, and rows of the arrays take the place of single queries.
 2. Every vector queries the graph of every shard. A beam is widened as long as it is full of
    vectors that reach the threshold, so there is no limit to the neighbours of a vector.
-3. Of each shard and block of queries, `audit` queries are also answered by brute force. While the beams find
-   less than `recall` of these pairs they are doubled; beyond `WIDEST` the shard is scanned, so search is exact.
-4. Pairs that remain have their cosine computed anew in double precision; components of the pairs are united.
+3. Of each shard and block of queries, `audit` queries and as many probes are also answered by brute force. A probe is
+   a vector of the shard, turned until its cosine is just the threshold, so that an audit has something to find where
+   near vectors are rare. While the beams find less than `recall` of these pairs they are doubled; beyond
+   `WIDEST`, which a crowd of near vectors can call for, the shard is scanned, so search is exact.
+4. Pairs that remain have their cosine computed anew in double precision; components of the pairs are united. For that,
+   `groups` takes from each task a forest that links the same vectors, not all of its pairs.
 
-Graphs and blocks of queries are rows of a table; a task takes one of each, so its memory
-doesn't grow with the data. Asking every shard makes blocks times shards such tasks.
+A shard's graph stays in a task, and blocks of queries stream past it; so a task's memory doesn't grow with the
+data. As every vector asks every shard, the work does, with the square of the number of shards.
 
 Defined results
 - Vectors that are null, empty, zero, not finite or hold nulls have no neighbours; nor have rows with a null vec_id.
 - Vectors of different lengths aren't compared. Equal vectors have cosine 1.
-- Repeated rows (one vec_id) are one vector; of different vectors the first by order counts.
+- Repeated rows (one vec_id) are one vector; of different vectors the first by order counts. An empty table gives an empty result.
+- Ties don't matter: a pair at the threshold counts, and a group is named by its least vec_id.
 - Other columns, whatever their names, are ignored.
 """
 
@@ -136,7 +140,8 @@ class Graph:
             opened[live, pick] = True
             near = table[ids[live, pick]]
             fresh = (near >= 0) & ~seen[live[:, None], np.maximum(near, 0)]
-            seen[live[:, None], np.maximum(near, 0)] |= near >= 0
+            r, c = np.nonzero(near >= 0)
+            seen[live[r], near[r, c]] = True
             s = np.einsum("ijk,ik->ij", self.vectors[np.maximum(near, 0)], q[live])
             s = np.where(fresh, s, -2)
             all_s = np.hstack((sims[live], s))
@@ -173,8 +178,8 @@ class Graph:
         return np.concatenate(left) if left else np.zeros(0, np.int64), np.concatenate(right) if right else np.zeros(0, np.int64)
 
 
-def _unit(column: pa.Array, dim: int) -> np.ndarray:
-    v = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+def _unit(v: np.ndarray) -> np.ndarray:
+    v = v.astype(np.float64)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
@@ -182,14 +187,26 @@ def _pack(array: np.ndarray) -> bytes:
     return np.ascontiguousarray(array).tobytes()
 
 
+def probes(vectors: np.ndarray, ids: np.ndarray, threshold: float, audit: int) -> np.ndarray:
+    """Vectors whose cosine with one of `audit` vectors is just the threshold, each in another direction."""
+    chosen = np.argsort(mix(ids.astype(np.uint64) + np.uint64(3)), kind="stable")[:audit]
+    v = vectors[chosen].astype(np.float64)
+    noise = np.random.default_rng(len(ids)).normal(size=v.shape)
+    noise -= (noise * v).sum(axis=1, keepdims=True) * v
+    noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
+    t = min(1.0, threshold + 1e-4)
+    return (t * v + np.sqrt(max(0.0, 1 - t * t)) * noise).astype(np.float32)
+
+
 def audited(graph: Graph, ids: np.ndarray, q_ids: np.ndarray, q: np.ndarray, threshold: float, beam: int, recall: float, audit: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(rows, vectors, beam): pairs at the threshold, with the beam that passed the audit."""
     chosen = np.argsort(mix(q_ids.astype(np.uint64)), kind="stable")[:audit]
-    truth = q[chosen] @ graph.vectors.T >= threshold
-    truth &= ids[None, :] != q_ids[chosen, None]
+    sample = np.concatenate((q[chosen], probes(graph.vectors, ids, threshold, audit)))
+    truth = sample @ graph.vectors.T >= threshold
+    truth[: len(chosen)] &= ids[None, :] != q_ids[chosen, None]
     need = int(truth.sum())
     while True:
-        r, c = graph.within(q[chosen], threshold, beam)
+        r, c = graph.within(sample, threshold, beam)
         hit = int(truth[r, c].sum())
         if hit >= recall * need or beam >= len(graph.vectors):
             break
@@ -198,8 +215,8 @@ def audited(graph: Graph, ids: np.ndarray, q_ids: np.ndarray, q: np.ndarray, thr
     return r, c, beam
 
 
-def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS, links: int = LINKS, beam: int = BEAM, recall: float = RECALL, audit: int = AUDIT) -> DataFrame:
-    """(a, b, cosine) with a < b."""
+def _searched(vectors: DataFrame, forest: bool, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS, links: int = LINKS, beam: int = BEAM, recall: float = RECALL, audit: int = AUDIT) -> DataFrame:
+    """(a, b, cosine) of the pairs that each task finds; with forest, of each vector in a pair and the least one that the task's pairs lead to."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     v = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("v")).where("id is not null and v is not null")
@@ -208,42 +225,60 @@ def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int
     v = common.cut(v)
     shards = max(1, -(-v.count() // shard_rows))
     v = v.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    # A shard's rows: its ids, unit vectors and graph as bytes.
+    # A shard's rows: its ids, vectors and graph as bytes.
     packed = "shard int, dim int, ids binary, vectors binary, levels array<binary>, entry int"
 
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by("id").combine_chunks()
         dim = table.column("dim")[0].as_py()
         ids = table.column("id").to_numpy()
-        unit = _unit(table.column("v").combine_chunks(), dim)
-        g = Graph(unit.astype(np.float32), _level(ids, links), links)
+        raw = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float32)
+        g = Graph(_unit(raw).astype(np.float32), _level(ids, links), links)
         kinds = pa.schema([("shard", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("levels", pa.list_(pa.binary())), ("entry", pa.int32())])
-        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(([table.column("shard")[0].as_py()], [dim], [_pack(ids)], [_pack(unit)], [[_pack(l) for l in g.levels]], [g.entry]), kinds, strict=True)], schema=kinds)
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(([table.column("shard")[0].as_py()], [dim], [_pack(ids)], [_pack(raw)], [[_pack(l) for l in g.levels]], [g.entry]), kinds, strict=True)], schema=kinds)
 
     graphs = common.cut(v.groupBy("shard", "dim").applyInArrow(lambda t: build(t), packed))
-    blocks = graphs.select(F.col("shard").alias("block"), "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q"))
-    tasks = graphs.join(blocks, "dim").repartition(F.col("shard"), F.col("block"))
+    # A task holds one shard's graph, which comes first, and some blocks of queries stream past it.
+    lanes = shards if shards <= 8 else -(-shards // 8)
+    here = graphs.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).withColumn("asks", F.lit(False))
+    asking = graphs.withColumn("lane", F.col("shard") % lanes).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("levels", F.lit(None).cast("array<binary>")).withColumn("asks", F.lit(True))
+    tasks = here.unionByName(asking).repartitionById(min(shards * lanes, 1_000_000), F.pmod(F.col("shard").cast("long") * lanes + F.col("lane"), F.lit(1_000_000)).cast("int"))
+    tasks = tasks.sortWithinPartitions("shard", "lane", "dim", "asks")
 
     def run(batches):
+        g = ids = unit = None
         for batch in batches:
-            for row in batch.to_pylist():
-                dim = row["dim"]
-                ids, q_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
-                unit, q = np.frombuffer(row["vectors"]).reshape(-1, dim), np.frombuffer(row["q"]).reshape(-1, dim)
-                g = Graph.__new__(Graph)
-                g.vectors, g.entry, g.width = unit.astype(np.float32), row["entry"], links
-                g.levels = [np.frombuffer(l, np.int32).reshape(len(ids), -1) for l in row["levels"]]
+            for k in range(batch.num_rows):
+                row = {name: batch.column(name)[k].as_py() for name in batch.schema.names}
+                own = (row["shard"], row["lane"], row["dim"])
+                q_ids, raw = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.float32).reshape(-1, row["dim"])
+                if not row["asks"]:
+                    g, ids, unit, of = Graph.__new__(Graph), q_ids, _unit(raw), own
+                    g.vectors, g.entry, g.width = unit.astype(np.float32), row["entry"], links
+                    g.levels = [np.frombuffer(l, np.int32).reshape(len(ids), -1) for l in row["levels"]]
+                    continue
+                if g is None or of != own:  # the shard has no vectors of this length
+                    continue
+                q = _unit(raw)
                 r, c, _ = audited(g, ids, q_ids, q.astype(np.float32), threshold - 1e-5, beam, recall, audit)
                 cos = np.concatenate([np.einsum("ij,ij->i", q[r[k : k + 65536]], unit[c[k : k + 65536]]) for k in range(0, len(r), 65536)]) if len(r) else np.zeros(0)
                 ok = (cos >= threshold - 1e-12) & (q_ids[r] != ids[c])
-                a, b = q_ids[r[ok]], ids[c[ok]]
-                yield common.rows([np.minimum(a, b), np.maximum(a, b), np.round(np.minimum(cos[ok], 1), 9)], PAIRS)
+                a, b, cos = q_ids[r[ok]], ids[c[ok]], np.minimum(cos[ok], 1)
+                if forest:
+                    names, both = np.unique(np.concatenate((a, b)), return_inverse=True)
+                    b, a = names[common.roots(len(names), both[: len(a)], both[len(a) :])], names
+                    cos = np.ones(len(a))
+                yield common.rows([np.minimum(a, b), np.maximum(a, b), np.round(cos, 9)], PAIRS)
 
-    got = tasks.select("dim", "ids", "vectors", "levels", "entry", "q_ids", "q").mapInArrow(run, "a long, b long, cosine double")
-    return got.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    return tasks.select("shard", "lane", "dim", "asks", "ids", "vectors", "levels", "entry").mapInArrow(run, "a long, b long, cosine double")
+
+
+def near_pairs(vectors: DataFrame, **options) -> DataFrame:
+    """(a, b, cosine) with a < b."""
+    return _searched(vectors, False, **options).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
 
 def groups(vectors: DataFrame, **options) -> DataFrame:
     """(vec_id, group_id): the vectors that have near ones, and the least vec_id of those that a chain of pairs leads to."""
-    found = near_pairs(vectors, **options)
+    found = _searched(vectors, True, **options)
     return common.components(vectors.sparkSession, found.select("a", "b")).select(F.col("node").alias("vec_id"), F.col("root").alias("group_id"))

@@ -63,3 +63,23 @@ def test_cases(spark):
     assert e.groups(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         e.near_pairs(df, threshold=0)
+
+
+def test_every_vertex_is_seen_once():
+    v = clustered(600, seed=5)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    g = e.Graph(u, e._level(np.arange(len(u)), 6), 6)
+    ids, _ = g.search(u, 40)
+    assert all(len(set(row[row >= 0])) == (row >= 0).sum() for row in ids)
+
+
+def test_the_audit_has_something_to_find_without_near_vectors():
+    u = np.random.default_rng(6).normal(size=(800, 32))
+    u = (u / np.linalg.norm(u, axis=1, keepdims=True)).astype(np.float32)
+    ids = np.arange(len(u))
+    p = e.probes(u, ids, 0.9, 50)
+    assert p.shape == (50, 32) and np.allclose((p @ u.T).max(axis=1), 0.9, atol=1e-3)
+    g = e.Graph(u, e._level(ids, 3), 3)
+    for row in g.levels:  # a graph that leads nowhere
+        row[:] = -1
+    assert e.audited(g, ids, ids, u, 0.9, 2, 0.97, 50)[2] > 2
