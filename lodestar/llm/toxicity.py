@@ -17,12 +17,15 @@
    the labelled sample.
 
 Words are folded: letters in lower case, signs as spaces. What tasks get is the lexicon and, in one
-pass, the list of candidate words, whose size is checked: beyond `limit` words they are joined instead.
+pass, the list of candidate words, whose size is checked: beyond `limit` words they are joined instead. Beyond
+`most_nodes` nodes the graph's edges stay in a table, and each step of the walks is a join.
+`clean_seeds` is how many clean seeds the walks start from.
 
 Defined results
 - Null and empty texts score 0 and are never toxic. A null doc_id can't be named by `toxic_documents`; `without_toxic` judges such rows alike.
 - Without labels of both classes, or where no word stands out, the lexicon is empty and nothing is toxic.
 - Labels with a null doc_id or class are ignored; of several for one document the largest counts.
+- An empty table gives an empty result. Very long texts are read whole. Of scores that tie for the best F1 the largest sets the threshold.
 - Repeated rows are scored each; `toxic_documents` gives one row for a doc_id, with the largest score.
 - Other columns, whatever their names, are ignored, and kept by `without_toxic`.
 """
@@ -39,7 +42,7 @@ from pyspark.sql import functions as F
 from lodestar.llm import common
 from lodestar.llm.text import Prefix, Words, mix, ngrams
 
-MAX_LABELLED, LIFT, CLEAN_SEEDS, RESTART, STEPS, LIMIT = 20_000, 4.0, 200, 0.15, 60, 4_000_000
+MAX_LABELLED, LIFT, CLEAN_SEEDS, RESTART, STEPS, LIMIT, MOST_NODES = 20_000, 4.0, 200, 0.15, 60, 4_000_000, 5_000
 BANDS = 8
 COPIES = pa.schema([("mark", pa.int64()), ("flag", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
 HOLDS = pa.schema([("mark", pa.int64()), ("flag", pa.int64()), ("word", pa.int64()), ("n", pa.int64())])
@@ -165,7 +168,7 @@ def _seeds(sample: DataFrame, lift: float, clean_seeds: int) -> tuple[np.ndarray
     bar = 2 * np.log(max(tried, 2)) + 2
     a, b = F.col("a"), F.col("b")
     toxic = counts.where((_g2(a, b, n1, n0) >= bar) & ((a + 0.5) / n1 >= lift * (b + 0.5) / n0))
-    clean = counts.where((b >= 5) & (a * n0 <= b * n1)).orderBy(F.desc("b"), "word").limit(clean_seeds)
+    clean = counts.where((b > 0) & (a * n0 <= b * n1)).orderBy(F.desc("b"), "word").limit(clean_seeds)
     column = lambda df: np.sort(df.select("word").toArrow().column("word").to_numpy().astype(np.int64))
     against = counts.where((b > 0) & ((a + 0.5) / n1 < lift * (b + 0.5) / n0)).select("word")
     return column(toxic), column(clean), against
@@ -195,8 +198,7 @@ def _candidates(texts: DataFrame, toxic: np.ndarray, against: DataFrame, total:
     hits = near.agg(F.sum("texts")).first()[0] or 0
     if not hits or hits == total:
         return toxic
-    # Fewer than 3 can't be beyond chance among so many words.
-    near = near.where("n >= 3").join(against, "word", "left_anti").select("word", "n")
+    near = near.where("n > 0").join(against, "word", "left_anti").select("word", "n")
     every_text = texts.select(F.lit(0).alias("flag"), "text")
     copies = _copies(every_text, toxic)
     n1, n0 = _totals(copies)
@@ -240,7 +242,27 @@ def walk(i: np.ndarray, j: np.ndarray, weight: np.ndarray, start: np.ndarray, re
     return at
 
 
-def induce(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, lift: float = LIFT, clean_seeds: int = CLEAN_SEEDS, restart: float = RESTART, steps: int = STEPS, limit: int = LIMIT) -> Lexicon:
+def _walk_tables(counts: DataFrame, total: int, toxic: np.ndarray, clean: np.ndarray, restart: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """What walk() gives from both starts, for a graph whose edges stay in a table: a join a step, and the driver holds the nodes alone."""
+    df = counts.where("i = j").select("i", F.col("n").alias("df"))
+    edges = counts.where("i <> j").select("i", "j", "n").join(df.withColumnRenamed("df", "a"), "i").join(df.select(F.col("i").alias("j"), F.col("df").alias("b")), "j")
+    edges = edges.select("i", "j", F.log(F.col("n") * float(total) / F.greatest(F.col("a") * F.col("b"), F.lit(1))).alias("w")).where("w > 0")
+    edges = edges.unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
+    edges = common.cut(edges.join(edges.groupBy("i").agg(F.sum("w").alias("degree")), "i").select("i", "j", (F.col("w") / F.col("degree")).alias("w")))
+    s, t = toxic / max(toxic.sum(), 1), clean / max(clean.sum(), 1)
+    spark = counts.sparkSession
+    start = common.cut(spark.createDataFrame(pa.table({"i": np.arange(len(s)), "s": s, "t": t})))
+    now = start.select("i", F.col("s").alias("p"), F.col("t").alias("q"))
+    for _ in range(steps):
+        flow = common.cut(edges.join(now, "i").groupBy(F.col("j").alias("i")).agg(F.sum(F.col("w") * F.col("p")).alias("p"), F.sum(F.col("w") * F.col("q")).alias("q")))
+        in_p, in_q = (x or 0.0 for x in flow.agg(F.sum("p"), F.sum("q")).first())
+        keep = 1 - restart
+        now = start.join(flow, "i", "left").select("i", (keep * F.coalesce("p", F.lit(0.0)) + F.col("s") * (1 - keep * in_p)).alias("p"), (keep * F.coalesce("q", F.lit(0.0)) + F.col("t") * (1 - keep * in_q)).alias("q"))
+    got = now.toArrow().sort_by("i")
+    return got.column("p").to_numpy(), got.column("q").to_numpy()
+
+
+def induce(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, lift: float = LIFT, clean_seeds: int = CLEAN_SEEDS, restart: float = RESTART, steps: int = STEPS, limit: int = LIMIT, most_nodes: int = MOST_NODES) -> Lexicon:
     empty = Lexicon(np.zeros(0, np.int64), np.zeros(0), [])
     sample = _labelled(docs, labels, max_labelled)
     toxic, clean, against = _seeds(sample, lift, clean_seeds)
@@ -294,21 +316,24 @@ def induce(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
         names = sorted(seen)
         yield common.rows([names, [-1] * len(names), [0] * len(names), [seen[k] for k in names]], PAIRS)
 
-    got = texts.mapInArrow(pairs, "i long, j long, n long, word string").groupBy("i", "j").agg(F.sum("n").alias("n"), F.max("word").alias("word")).toArrow().to_pandas()
+    is_toxic, is_clean = np.isin(nodes, toxic).astype(float), np.isin(nodes, clean).astype(float)
+    counts = common.cut(texts.mapInArrow(pairs, "i long, j long, n long, word string").groupBy("i", "j").agg(F.sum("n").alias("n"), F.max("word").alias("word")))
     shown = [""] * len(nodes)
-    named = got[got.j < 0]
-    for k, w in zip(named.i, named.word, strict=True):
+    named = counts.where("j < 0").toArrow()
+    for k, w in zip(named.column("i").to_pylist(), named.column("word").to_pylist(), strict=True):
         shown[k] = w
-    got = got[got.j >= 0]
-    i, j, n = (got[c].to_numpy(np.int64) for c in ("i", "j", "n"))
-    own = i == j
-    df = np.zeros(len(nodes))
-    df[i[own]] = n[own]
-    i, j, n = i[~own], j[~own], n[~own]
-    pmi = np.log(n * total / np.maximum(df[i] * df[j], 1))
-    i, j, pmi = i[pmi > 0], j[pmi > 0], pmi[pmi > 0]
-    p = walk(i, j, pmi, np.isin(nodes, toxic).astype(float), restart, steps)
-    q = walk(i, j, pmi, np.isin(nodes, clean).astype(float), restart, steps)
+    if len(nodes) <= most_nodes:
+        got = counts.where("j >= 0").select("i", "j", "n").toArrow()
+        i, j, n = (got.column(c).to_numpy().astype(np.int64) for c in ("i", "j", "n"))
+        own = i == j
+        df = np.zeros(len(nodes))
+        df[i[own]] = n[own]
+        i, j, n = i[~own], j[~own], n[~own]
+        pmi = np.log(n * total / np.maximum(df[i] * df[j], 1))
+        i, j, pmi = i[pmi > 0], j[pmi > 0], pmi[pmi > 0]
+        p, q = (walk(i, j, pmi, start, restart, steps) for start in (is_toxic, is_clean))
+    else:
+        p, q = _walk_tables(counts.where("j >= 0"), total, is_toxic, is_clean, restart, steps)
     # Odds against those of a typical clean seed, as frequent words are near to all. Seeds keep their side.
     odds = (p + 1e-12) / (q + 1e-12)
     odds = odds / max(float(np.median(odds[np.isin(nodes, clean)])), 1e-12) if len(clean) else odds

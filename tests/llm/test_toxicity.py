@@ -34,6 +34,9 @@ def test_induction_finds_words_that_no_label_has(spark):
     held = [k for k in truth if k % 3]
     assert np.mean([truth[k] == (k in got) for k in held]) > 0.99
     assert t.toxic_documents(docs, labels, limit=0).count() == len(got)  # the way beyond the limit
+    far = t.induce(docs, labels, most_nodes=0, steps=8)
+    near = t.induce(docs, labels, steps=8)
+    assert far.words == near.words and np.allclose(far.weights, near.weights, atol=1e-9)
     kept = t.without_toxic(docs, labels)
     assert kept.schema == docs.schema and {x.doc_id for x in kept.collect()} == set(truth) - set(got)
 
