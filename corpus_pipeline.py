@@ -9,6 +9,14 @@ and copies.
 3. decontamination: documents that hold a passage of the benchmark go.
 4. personal_data: spans are replaced by their kind; all rows stay.
 5. mixing: rates that bring the domains' expected words to their weights; rows of rate 0 go.
+
+Defined results
+- Null and empty texts, and rows with a null doc_id, pass the first four stages; null and empty texts have rate 1. A row with
+  a null doc_id is judged by its text alone, so it has no near duplicate.
+- Rows that repeat a doc_id stay or go together in stage 2, and are judged one by one elsewhere.
+- Very long texts are read whole. Of similar documents the least doc_id stays, whatever their similarity.
+- Empty tables of documents, labels or benchmark items give empty results or stages that keep all rows.
+- Extra columns of documents are kept, but for those named rate and copies, which the last stage replaces.
 """
 
 from __future__ import annotations
@@ -53,11 +61,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents. What they write goes to the folder that holds the checkpoints."""
+    """The stages applied to documents. What they write goes to the folder that holds the checkpoints; each stage's
+    rows are deleted when those of the next are written."""
     docs = read(spark, sf_dir, "documents")
     folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         at = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(at)
-        docs = spark.read.parquet(at)
+        if before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        docs, before = spark.read.parquet(at), at
     return docs
