@@ -7,18 +7,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import paths, secrets, text
 from lodestar.operators import bm25, graph, intervals, resolve, slicing
-from lodestar.plans import render
+from lodestar.parse.spark import parse
+from lodestar.plans import render, strategies
+from lodestar.sources import repository
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 QUESTION = "the license of thing token trash"
-ROUNDS = 12
 
 
 def query(sql: str | None = None) -> Callable:
@@ -35,7 +36,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-# --- text -----------------------------------------------------------------------------------
+# text
 
 SQL_TOKENS = r"""list_filter(list_transform(list_filter(regexp_split_to_array(regexp_replace(regexp_replace({t},
  '(\p{{Lu}})(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g'), '(\p{{Ll}})(\p{{Lu}})', '\1 \2', 'g'), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''), lambda x: lower(x)), lambda x: true)"""
@@ -75,7 +76,8 @@ def idf_terms(spark, d):
 
 @query(f"select greatest(avg(len({DROP})), 1.0) as avgdl, count(*) as n from (select {sql_tokens('text')} as w from documents)".replace("greatest(avg", "round(greatest(avg").replace("1.0) as", "1.0), 6) as"))
 def average_length(spark, d):
-    return table(spark, d, "documents").select(F.size(text.tokens(F.col("text"))).alias("dl")).agg(F.round(F.greatest(F.avg("dl"), F.lit(1.0)), 6).alias("avgdl"), F.count("*").alias("n"))
+    stats = bm25.corpus_stats(bm25.lengths(table(spark, d, "documents"), "doc_id", F.col("text")))
+    return stats.select(F.round("avgdl", 6).alias("avgdl"), "n")
 
 
 def sql_bm25(source: str, key: str, t: str, question: str, k: int) -> str:
@@ -140,15 +142,16 @@ def redact_documents(spark, d):
     return out.select("doc_id", F.col("r").alias("text"), (F.col("r") != F.col("text")).alias("has_redactions"))
 
 
-# --- files and languages ----------------------------------------------------------------------
+# files and languages
 
-EXT = "['rs','py','pyi','ts','tsx','js','mjs','go','java','h','cc','cs','rb','swift','kts','md','PY']"
+KINDS = ("rs", "py", "pyi", "ts", "tsx", "js", "mjs", "go", "java", "h", "cc", "cs", "rb", "swift", "kts", "md", "PY")
+EXT = str(list(KINDS))
 SQL_PATH = f"source || '/' || doc_id || '.' || {EXT}[doc_id % 17 + 1]"
 
 
 def documents_as_files(spark: SparkSession, d: str) -> DataFrame:
     """documents as a corpus of files: a path from source and number, with an extension by the number."""
-    kinds = F.array(*(F.lit(x) for x in eval(EXT)))  # noqa: S307
+    kinds = F.array(*(F.lit(x) for x in KINDS))
     path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), F.get(kinds, (F.col("doc_id") % 17).cast("int")))
     return table(spark, d, "documents").select("doc_id", path.alias("path"), "text")
 
@@ -168,12 +171,16 @@ def language_of_path(spark, d):
     return files.select("path", "language", paths.display(lang).alias("display"), paths.comment_prefix(lang).alias("comment"), paths.fence(lang, F.col("path")).alias("fence"), paths.directory(F.col("path")).alias("dir"))
 
 
-@query("""select case when n_bytes > 8192 then 'too_large' when text like '%secret%' then 'flagged' else 'ok' end as reason, count(*) as files, cast(sum(n_bytes) as bigint) as bytes
-from (select text, strlen(text) as n_bytes from documents) group by 1""")
+@query(f"""select coalesce(reason, 'admitted') as reason, count(*) as files, cast(sum(n) as bigint) as bytes from (select n, case when doc_id % 17 = 0 then 'path_too_deep' when n > 8192 then 'too_large' when doc_id % 13 = 0 then 'binary' when doc_id % 11 = 0 then 'not_utf8' end as reason
+from (select doc_id, strlen(text) + case when doc_id % 13 = 0 then 1 when doc_id % 11 = 0 then 1 else 0 end as n from documents)) group by 1""")
 def admission_report(spark, d):
-    sized = table(spark, d, "documents").select("text", F.octet_length("text").alias("n_bytes"))
-    reason = F.when(F.col("n_bytes") > 8192, "too_large").when(F.col("text").contains("secret"), "flagged").otherwise("ok")
-    return sized.groupBy(reason.alias("reason")).agg(F.count("*").alias("files"), F.sum("n_bytes").cast("long").alias("bytes"))
+    """Documents as files, some of them under deep paths, with a zero byte in front, or with a byte that isn't UTF-8 at the end."""
+    k, body = F.col("doc_id"), F.col("text").cast("binary")
+    content = F.when(k % 13 == 0, F.concat(F.unhex(F.lit("00")), body)).when(k % 11 == 0, F.concat(body, F.unhex(F.lit("FF")))).otherwise(body)
+    path = F.concat(F.when(k % 17 == 0, F.repeat(F.lit("d/"), 70)).otherwise(""), "source", F.lit("/"), k.cast("string"))
+    raw = table(spark, d, "documents").select(path.alias("path"), content.alias("content")).withColumn("length", F.octet_length("content"))
+    out = repository.admit(raw, repository.Limits(max_file_size=8192))
+    return out.groupBy(F.coalesce("reason", F.lit("admitted")).alias("reason")).agg(F.count("*").alias("files"), F.sum("length").cast("long").alias("bytes"))
 
 
 SQL_ESTIMATE = "cast(floor(1.3::double * len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))) as bigint)"
@@ -181,8 +188,8 @@ SQL_ESTIMATE = "cast(floor(1.3::double * len(list_filter(regexp_split_to_array(t
 
 @query(f"select coalesce(source, 'Total') as dir, count(*) as files, cast(sum({SQL_ESTIMATE}) as bigint) as tokens from documents group by rollup (source)")
 def summary_by_source(spark, d):
-    docs = table(spark, d, "documents").select("source", text.estimate_tokens(F.col("text")).alias("tokens"))
-    return docs.rollup("source").agg(F.count("*").alias("files"), F.sum("tokens").alias("tokens")).select(F.coalesce("source", F.lit("Total")).alias("dir"), "files", "tokens")
+    files = documents_as_files(spark, d).select("path", text.estimate_tokens(F.col("text")).alias("token_count"))
+    return render.summary(files).select("dir", "files", "tokens")
 
 
 @query("select doc_id, cast(row_number() over (order by source, doc_id) - 1 as bigint) as node from documents")
@@ -190,7 +197,7 @@ def dense_ids(spark, d):
     return graph.dense_ids(table(spark, d, "documents").select("source", "doc_id"), "source", "doc_id").select("doc_id", "node")
 
 
-# --- graphs --------------------------------------------------------------------------------------
+# graphs
 
 SQL_LINKS = r"""select distinct regexp_extract(url, '//([^/]+)', 1) as src, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as dst, 'link' as kind from pages"""
 
@@ -247,34 +254,46 @@ def dangling_nodes(spark, d):
     return graph.out_degree(link_nodes(spark, d), e).where("out_degree = 0").select("node")
 
 
-def sql_rank(edges: str, nodes: str, rounds: int) -> str:
-    """PageRank with each round as a table of its own."""
-    out = f"with e as materialized ({edges}), n as materialized ({nodes}), c as (select count(*) as c from n), deg as materialized (select src, count(*) as k from e group by 1), r0 as materialized (select node, 1.0::double / c as s from n, c)"
-    for i in range(1, rounds + 1):
-        p = f"r{i - 1}"
-        out += f""", r{i} as materialized (select n.node, 0.15 / c + 0.85 * (coalesce(x.s, 0) + (select coalesce(sum(s), 0) from {p} where node not in (select src from deg)) / c) as s
-from n cross join c left join (select e.dst as node, sum({p}.s / k) as s from e join {p} on e.src = {p}.node join deg on deg.src = e.src group by 1) x on x.node = n.node)"""
-    return out
+def sql_rank(edges: str, nodes: str) -> str:
+    """PageRank until the scores change by less than the tolerance; the last scores are in the table rank."""
+    return f"""with recursive e as materialized ({edges}), n as materialized ({nodes}), c as materialized (select count(*) as c from n), deg as materialized (select src, count(*) as k from e group by 1),
+r(i, node, s, moved) as (select 0, node, 1.0::double / c, 1e9::double from n, c union all
+select i + 1, node, new, sum(abs(new - old)) over () from (select r.i, r.node, r.s as old, 0.15::double / c + 0.85::double * (coalesce(x.s, 0) + lost / c) as new
+from r cross join c cross join (select coalesce(sum(s), 0) as lost from r where node not in (select src from deg)) l
+left join (select e.dst as node, sum(r.s / deg.k) as s from e join r on e.src = r.node join deg on deg.src = e.src group by 1) x on x.node = r.node where r.moved >= 1e-6 and r.i < 100)),
+rank as materialized (select node, s from r where i = (select max(i) from r))"""
 
 
 def _rank(spark: SparkSession, d: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return graph.page_rank(nodes, edges, rounds=ROUNDS, tolerance=0.0)
+    return graph.page_rank(nodes, edges)
 
 
-SQL_TRADE_RANK = sql_rank(SQL_TRADE, "select n_nationkey as node from nation", ROUNDS)
+SQL_TRADE_RANK = sql_rank(SQL_TRADE, "select n_nationkey as node from nation")
 
 
-@query(f"{SQL_TRADE_RANK} select node, round(s, 6) as score from r{ROUNDS}")
+@query(f"{SQL_TRADE_RANK} select node, round(s, 6) as score from rank")
 def pagerank_trade(spark, d):
     return _rank(spark, d, nations(spark, d), trade_table(spark, d)).select("node", F.round("score", 6).alias("score"))
 
 
-@query(sql_rank(SQL_LINKS, "select src as node from e union select dst from e", ROUNDS) + f" select node, round(s, 6) as score from r{ROUNDS}")
+@query(sql_rank(SQL_LINKS, "select src as node from e union select dst from e") + " select node, round(s, 6) as score from rank")
 def pagerank_links(spark, d):
     return _rank(spark, d, link_nodes(spark, d), link_table(spark, d)).select("node", F.round("score", 6).alias("score"))
 
 
-@query(f"{SQL_TRADE_RANK} select node, round(s, 6) as score from (select *, row_number() over (order by round(s, 9) desc, node) as k from r{ROUNDS}) where k <= greatest(1, floor((select c from c) * 0.2))")
+SQL_ORDERS = "select distinct o_custkey % 97 as src, o_orderkey % 101 as dst, 'order' as kind from orders where o_custkey % 97 <> o_orderkey % 101"
+
+
+@query(sql_rank(SQL_ORDERS.replace("select distinct", "select distinct").replace("where", "where o_orderkey % 101 < 97 and"), "select distinct o_custkey % 97 as node from orders") + " select node, round(s, 6) as score from rank")
+def pagerank_by_joins(spark, d):
+    """Ranks by a join a round, as for graphs of any size; edges to what isn't a node don't count."""
+    orders = table(spark, d, "orders")
+    edges = graph.distinct_edges(orders.select((F.col("o_custkey") % 97).alias("src"), (F.col("o_orderkey") % 101).alias("dst"), F.lit("order").alias("kind")))
+    nodes = orders.select((F.col("o_custkey") % 97).alias("node"))
+    return graph.page_rank(nodes, edges, small=0).select("node", F.round("score", 6).alias("score"))
+
+
+@query(f"{SQL_TRADE_RANK} select node, round(s, 6) as score from (select *, row_number() over (order by round(s, 9) desc, node) as k from rank) where k <= greatest(1, floor((select c from c) * 0.2))")
 def hubs_top_fraction(spark, d):
     scores = _rank(spark, d, nations(spark, d), trade_table(spark, d)).select("node", F.round("score", 9).alias("score"))
     return graph.hubs(scores, 0.2).select("node", F.round("score", 6).alias("score"))
@@ -287,7 +306,7 @@ def khop_neighbours(spark, d):
     return graph.k_hop(trade_table(spark, d), start, 2)
 
 
-@query(f"{SQL_TRADE_RANK} select r_name as path, round(coalesce(max(s), 0), 6) as importance from region left join nation on r_regionkey = n_regionkey left join r{ROUNDS} on node = n_nationkey group by 1")
+@query(f"{SQL_TRADE_RANK} select r_name as path, round(coalesce(max(s), 0), 6) as importance from region left join nation on r_regionkey = n_regionkey left join rank on node = n_nationkey group by 1")
 def file_importance(spark, d):
     scores = _rank(spark, d, nations(spark, d), trade_table(spark, d))
     regions = table(spark, d, "region").select("r_regionkey", F.col("r_name").alias("path"))
@@ -295,7 +314,7 @@ def file_importance(spark, d):
     return graph.file_importance(of, scores, regions).select("path", F.round("importance", 6).alias("importance"))
 
 
-# --- plans ------------------------------------------------------------------------------------------
+# plans
 
 SQL_PLANS = "select p_partkey as file_id, p_size * 20 as full_tokens, p_size * 10 as skeleton_tokens, 5 + 5 * (p_partkey % 7) as signature_tokens, p_retailprice as importance, p_partkey % 10 = 0 as is_hub from part where p_size > 0"
 
@@ -344,7 +363,7 @@ def plan_cost(spark, d):
     return levels.groupBy("level").agg(F.count("*").alias("files"), F.sum(spent).alias("tokens"))
 
 
-# --- joins ---------------------------------------------------------------------------------------------
+# joins
 
 
 @query("""with f as (select distinct source || '/' || (doc_id % 50) as path from documents), c as (select doc_id, 0 as priority, source || '/' || n_chars % 97 as path from documents union all select doc_id, 1, source || '/' || n_chars % 53 from documents union all select doc_id, 2, 'src0/' || n_chars % 7 from documents)
@@ -359,19 +378,110 @@ def import_resolution(spark, d):
 
 
 SQL_CALLS = f"""with t as (select doc_id, {DROP} as w from (select doc_id, {sql_tokens('text')} as w from documents)),
-n as (select doc_id, w[1] as name from t where len(w) > 0), c as (select distinct doc_id, unnest(w[2:30]) as callee from t)
+n as (select doc_id, w[1] as name from t where len(w) > 0), c as (select distinct doc_id, unnest(w[2:]) as callee from t)
 select callee, count(*) as edges, count(distinct c.doc_id) as callers from c join n on n.name = c.callee and n.doc_id <> c.doc_id group by 1"""
 
 
 @query(SQL_CALLS)
 def call_fanout(spark, d):
-    """Each document is a file that exports its first word and calls the next 29."""
+    """Each document is a file that exports its first word and calls all others."""
     words = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), text.tokens(F.col("text")).alias("w"))
     nodes = words.where(F.size("w") > 0).select(F.col("doc_id").alias("node"), "path", F.get("w", F.lit(0)).alias("name"))
-    calls = words.select("path", F.lit(None).cast("string").alias("enclosing"), F.explode(F.slice("w", 2, 29)).alias("callee"))
-    edges = resolve.call_edges(calls, nodes)
-    named = edges.join(nodes.select(F.col("node").alias("dst"), F.col("name").alias("callee")), "dst")
-    return named.groupBy("callee").agg(F.count("*").alias("edges"), F.count_distinct("src").alias("callers"))
+    callees = F.array_distinct(F.slice("w", F.lit(2), F.size("w")))
+    calls = words.select("path", F.lit(None).cast("string").alias("enclosing"), F.explode(callees).alias("callee"))
+    return resolve.call_counts(calls, nodes)
+
+
+# A code graph over the table part: 20 files, names by size; what other tables hold calls, imports and extends.
+SQL_CODE_NODES = "select p_partkey as node, 'f' || (p_partkey % 20) as path, 'n' || p_size as name from part"
+SQL_CODE_CALLS = f"""select distinct s.src, t.node as dst, 'call' as kind from (
+select n.node as src, 'n' || (c.s_suppkey % 60) as callee from supplier c join ({SQL_CODE_NODES}) n on n.path = 'f' || (c.s_suppkey % 23) and (c.s_suppkey % 3 = 0 or n.name = 'n' || (c.s_suppkey % 50))) s
+join ({SQL_CODE_NODES}) t on t.name = s.callee where s.src <> t.node"""
+SQL_CODE_IMPORTS = f"""select distinct n.node as src, t.node as dst, 'import' as kind from nation i join ({SQL_CODE_NODES}) n on n.path = 'f' || i.n_nationkey join ({SQL_CODE_NODES}) t
+on t.path = 'f' || (i.n_nationkey * 7 + 1) % 20 and (i.n_regionkey = 0 or t.name in ('n' || i.n_nationkey, 'n' || (i.n_nationkey + 1))) where n.node <> t.node"""
+SQL_CODE_PARENTS = f"""select distinct f.src, t.node as dst, 'extends' as kind from supplier p join (select path, name, min(node) as src from ({SQL_CODE_NODES}) group by 1, 2) f on f.path = 'f' || (p.s_suppkey % 20) and f.name = 'n' || (p.s_suppkey % 50)
+join ({SQL_CODE_NODES}) t on t.name = 'n' || p.s_nationkey where f.src <> t.node"""
+
+
+def _tag(letter: str, number: Column) -> Column:
+    return F.concat(F.lit(letter), number.cast("string"))
+
+
+def code_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_partkey").alias("node"), _tag("f", F.col("p_partkey") % 20).alias("path"), _tag("n", F.col("p_size")).alias("name"))
+
+
+@query(SQL_CODE_CALLS)
+def call_edges(spark, d):
+    k = F.col("s_suppkey")
+    calls = table(spark, d, "supplier").select(_tag("f", k % 23).alias("path"), F.when(k % 3 != 0, _tag("n", k % 50)).alias("enclosing"), _tag("n", k % 60).alias("callee"))
+    return resolve.call_edges(calls, code_nodes(spark, d))
+
+
+@query(SQL_CODE_IMPORTS)
+def import_edges(spark, d):
+    k = F.col("n_nationkey")
+    names = F.when(F.col("n_regionkey") == 0, F.array().cast("array<string>")).otherwise(F.array(_tag("n", k), _tag("n", k + 1)))
+    imports = table(spark, d, "nation").select(_tag("f", k).alias("path"), _tag("f", (k * 7 + 1) % 20).alias("target"), names.alias("names"))
+    return resolve.import_edges(imports, code_nodes(spark, d))
+
+
+@query(SQL_CODE_PARENTS)
+def parent_edges(spark, d):
+    k = F.col("s_suppkey")
+    parents = table(spark, d, "supplier").select(_tag("f", k % 20).alias("path"), _tag("n", k % 50).alias("name"), _tag("n", F.col("s_nationkey")).alias("parent"), F.lit("extends").alias("kind"))
+    return resolve.parent_edges(parents, code_nodes(spark, d))
+
+
+@query(f"""with recursive e as ({SQL_CODE_PARENTS}), u as (select src as a, dst as b from e union select dst, src from e), w as (select p_partkey as node, 0 as hop from part where p_partkey % 2 = 0 union select u.b, w.hop + 1 from w join u on u.a = w.node where w.hop < 2)
+select node, min(hop) as hop from w group by 1 having min(hop) > 0""")
+def khop_without_imports(spark, d):
+    edges = parent_edges(spark, d).unionByName(import_edges(spark, d))
+    return graph.k_hop(edges, code_nodes(spark, d).where("node % 2 = 0"), 2)
+
+
+SOURCES = {
+    "python": ("import os\n\ndef f{k}(a):\n    return g{k}(a)\n\nclass _C{k}(B{k}):\n    pass\n", (("function", "f", "public"), ("class", "_C", "private"))),
+    "rust": ("pub fn f{k}(a: i32) -> i32 {{ g{k}(a) }}\nstruct C{k} {{ a: u8 }}\n", (("function", "f", "public"), ("struct", "C", "private"))),
+    "typescript": ("export function f{k}(a: number) {{ return g{k}(a); }}\nclass C{k} extends B{k} {{ }}\n", (("function", "f", "public"), ("class", "C", "private"))),
+    "go": ("package p\n\nfunc F{k}(a int) int {{ return g{k}(a) }}\n\ntype c{k} struct {{ a int }}\n", (("function", "F", "public"), ("struct", "c", "private"))),
+    "ruby": ("def f{k}(a)\n  g{k}(a)\nend\n", (("function", "f", "private"),)),
+}
+SQL_LANG = "(['python', 'rust', 'typescript', 'go', 'ruby'])[doc_id % 5 + 1]"
+
+
+def written_sources(spark: SparkSession, d: str) -> DataFrame:
+    """A source text for each document, in one of five languages by its number."""
+    docs = table(spark, d, "documents").select("doc_id", F.get(F.array(*(F.lit(x) for x in SOURCES)), (F.col("doc_id") % len(SOURCES)).cast("int")).alias("language"))
+    body = F.lit(None).cast("string")
+    for lang, (form, _) in SOURCES.items():
+        parts = [F.lit(x) for x in form.replace("{{", "{").replace("}}", "}").split("{k}")]
+        key = F.col("doc_id").cast("string")
+        body = F.when(F.col("language") == lang, F.concat(parts[0], *(y for x in parts[1:] for y in (key, x)))).otherwise(body)
+    return docs.select("doc_id", "language", body.alias("source"))
+
+
+@query(" union all ".join(f"select doc_id, '{lang}' as language, '{kind}' as kind, '{name}' || doc_id as name, '{vis}' as visibility from documents where {SQL_LANG} = '{lang}'" for lang, (_, symbols) in SOURCES.items() for kind, name, vis in symbols))
+def extracted_symbols(spark, d):
+    s = parse(written_sources(spark, d)).select("doc_id", "language", F.explode("symbols").alias("s"))
+    return s.select("doc_id", "language", "s.kind", "s.name", "s.visibility")
+
+
+@query(f"select doc_id, 'g' || doc_id as callee, case when {SQL_LANG} = 'go' then 'F' else 'f' end || doc_id as enclosing from documents where {SQL_LANG} <> 'ruby'")
+def extracted_calls(spark, d):
+    c = parse(written_sources(spark, d)).select("doc_id", F.explode("calls").alias("c"))
+    return c.select("doc_id", "c.callee", "c.enclosing")
+
+
+@query(f"""select 'architect' as strategy, file_id, case when is_hub then 3 else 2 end as level, is_hub, cast(importance as double) as importance from ({SQL_PLANS})
+union all select 'task', file_id, case when file_id % 50 = 7 then 3 when file_id % 9 = 0 then 2 else 1 end, is_hub or file_id % 50 = 7, case when file_id % 50 = 7 then 2.5 else 0 end + importance from ({SQL_PLANS})""")
+def strategy_levels(spark, d):
+    """The levels that both strategies start from, for a search that finds every file numbered 7 of 50 and neighbours by nines."""
+    k = F.col("file_id")
+    files = part_plans(spark, d).select(k, "is_hub", F.col("importance").cast("double").alias("importance"))
+    task = files.withColumns({"score": F.when(k % 50 == 7, 2.5), "near": (k % 9 == 0) & (k % 50 != 7)})
+    each = [strategies.architect_levels(files), strategies.task_levels(task)]
+    return each[0].select(F.lit("architect").alias("strategy"), "file_id", "level", "is_hub", "importance").unionByName(each[1].select(F.lit("task").alias("strategy"), "file_id", "level", "is_hub", "importance"))
 
 
 @query("""with s as (select user_id, epoch_us(ts) as start, epoch_us(ts) + cast(floor(value * 20000000) as bigint) as stop from events where user_id is not null),
@@ -385,14 +495,14 @@ def interval_union_events(spark, d):
     return intervals.interval_union(spans, "user_id")
 
 
-# --- reports -----------------------------------------------------------------------------------------------
+# reports
 
 
-@query(f"""select path, '- `' || path || '`: ' || string_agg(name || coalesce(' — ' || doc, ''), ', ' order by k) as line from (select {SQL_PATH} as path, w[k] as name, case when k = 1 then lang end as doc, k
-from (select doc_id, source, lang, {DROP} as w from (select doc_id, source, lang, {sql_tokens('text')} as w from documents)) , (select unnest([1, 2, 3]) as k) where len(w) >= k and w[k] not like 'e%') group by path""")
+@query(f"""select path, '- `' || path || '`: ' || string_agg(name || coalesce(' — ' || doc, ''), ', ' order by k) as line from (select path, w[k] as name, case when k = 1 then lang end as doc, k
+from (select path, lang, w, unnest(range(1, len(w) + 1)) as k from (select {SQL_PATH} as path, lang, {DROP} as w from (select doc_id, source, lang, {sql_tokens('text')} as w from documents))) where w[k] not like 'e%') group by path""")
 def contract_view(spark, d):
-    """The first three words as symbols, of which those that begin with an e are private."""
-    files = documents_as_files(spark, d).join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id").select("path", "lang", F.slice(text.tokens(F.col("text")), 1, 3).alias("w"))
+    """All words as symbols, of which those that begin with an e are private."""
+    files = documents_as_files(spark, d).join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id").select("path", "lang", text.tokens(F.col("text")).alias("w"))
     symbols = F.transform("w", lambda x, i: F.struct(F.when(x.startswith("e"), "private").otherwise("public").alias("visibility"), x.alias("name"), F.when(i == 0, F.col("lang")).alias("docstring")))
     return render.contract_view(files.select("path", symbols.alias("symbols")))
 
@@ -405,7 +515,7 @@ def render_blocks(spark, d):
     return render.file_blocks(files, collapse=False)
 
 
-@query(f"{SQL_TRADE_RANK} select n_nationkey as id, n_name as label, floor(s * 1000 + 0.5) / 1000 as score from r{ROUNDS} join nation on node = n_nationkey")
+@query(f"{SQL_TRADE_RANK} select n_nationkey as id, n_name as label, floor(s * 1000 + 0.5) / 1000 as score from rank join nation on node = n_nationkey")
 def graph_export_nodes(spark, d):
     scores = _rank(spark, d, nations(spark, d), trade_table(spark, d))
     names = table(spark, d, "nation").select(F.col("n_nationkey").alias("node"), "n_name")

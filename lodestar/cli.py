@@ -14,7 +14,8 @@ from lodestar.plans import topology
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="lodestar")
     p.add_argument("path")
-    p.add_argument("-m", "--mode", choices=topology.MODES, default="dump")
+    p.add_argument("-m", "--mode", default="dump")
+    p.add_argument("--vocabulary", help="a file of byte-pair ranks to count tokens by")
     p.add_argument("--query")
     p.add_argument("--max-tokens", type=int)
     p.add_argument("--no-collapse", action="store_true")
@@ -22,7 +23,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--graph", action="store_true", help="the graph as JSON instead")
     a = p.parse_args(args)
     try:
-        options = topology.Options(a.mode, a.query, a.max_tokens, not a.no_collapse).checked()
+        options = topology.Options(a.mode, a.query, a.max_tokens, not a.no_collapse, a.vocabulary).checked()
         spark = SparkSession.builder.config("spark.ui.showConsoleProgress", "false").getOrCreate()
         text = topology.export_graph(spark, a.path) or "null" if a.graph else topology.run(spark, a.path, options)
     except (ValueError, OSError) as e:

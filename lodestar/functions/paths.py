@@ -75,3 +75,15 @@ def join_lexical(base: Column, relative: Column) -> Column:
         lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))),
     )
     return F.array_join(folded, "/")
+
+
+def normalise(path: Column, windows: bool = False) -> Column:
+    """With slashes for backslashes, where these separate folders; elsewhere a path as it is."""
+    return F.replace(path, F.lit("\\"), F.lit("/")) if windows else path
+
+
+def same_path(a: Column, b: Column, windows: bool = False) -> Column:
+    """Whether two paths have the same parts. Repeated and closing slashes don't count, a leading one does;
+    . and .. are parts like others. Null where a path is null."""
+    whole = lambda p: F.regexp_replace(F.regexp_replace(normalise(p, windows), "/+", "/"), "(?<=.)/$", "")
+    return whole(a) == whole(b)

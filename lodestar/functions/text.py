@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CAMEL = r"(?<=\p{IsUppercase})(?=\p{IsUppercase}\p{IsLowercase})|(?<=\p{IsLowercase})(?=\p{IsUppercase})"
+CAMEL = r"(\p{IsUppercase})(?=\p{IsUppercase}\p{IsLowercase})|(\p{IsLowercase})(?=\p{IsUppercase})"
+REPEATS = r"(?<![^ ])([^ ]++)(?: \1(?![^ ]))+"
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -15,12 +16,14 @@ def estimate_tokens(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case words of identifiers and prose: split at signs and camel humps, repeats in a row dropped."""
-    parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), CAMEL, " "), r"[^\p{IsAlphabetic}\p{N}]+")
-    words = F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.lower(x))
-    # Each word against the one before it; the array of one list makes the list be computed once.
-    fresh = lambda w: F.zip_with(w, F.concat(F.array(F.lit("")), w), lambda a, b: F.when(a != b, a))
-    return F.transform(F.array(words), lambda w: F.filter(fresh(w), lambda x: x.isNotNull()))[0]
+    """Lower-case words of identifiers and prose: split at signs and camel humps, repeats in a row dropped.
+
+    Null and empty texts, and texts of signs alone, have no words. It all happens on one string before the
+    split, as functions over the items of an array are interpreted, not compiled.
+    """
+    humps = F.regexp_replace(F.coalesce(text, F.lit("")), CAMEL, "$0 ")
+    words = F.lower(F.regexp_replace(humps, r"[^\p{IsAlphabetic}\p{N}]+", " "))
+    return F.array_remove(F.split(F.regexp_replace(F.trim(words), REPEATS, "$1"), " "), "")
 
 
 def html_escape(text: Column) -> Column:

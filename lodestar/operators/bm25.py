@@ -1,6 +1,11 @@
 """BM25 over a table of documents.
 
-The index is three small tables by term and document; scoring touches only the postings of the query's terms.
+A row is a document. One pass reads the texts, and keeps of each its length and how often it has each
+of the query's terms; the corpus' numbers and the scores come from these small rows.
+
+Defined results: null and empty texts have no words, count as documents, and match nothing; rows that repeat a
+key are documents of their own; an empty table or a query without words gives no row; equal scores go by key.
+Columns of the table other than the key and the text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -9,12 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import tokens
+from lodestar.session import cut
 
 K1, B = 1.2, 0.75
 
 
 def term_frequency(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, term, tf)"""
+    """(key, term, tf); the rows of one key are counted together."""
     return docs.select(F.col(key), F.explode(tokens(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
@@ -23,36 +29,40 @@ def idf(df: Column, n: Column) -> Column:
 
 
 def idf_terms(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """(term, df, idf)"""
+    """(term, df, idf). A document's terms are made distinct in place, so that only counts by term are shuffled."""
     n = docs.agg(F.count("*").alias("n"))
-    counts = term_frequency(docs, key, text).groupBy("term").agg(F.count("*").alias("df"))
+    counts = docs.select(F.explode(F.array_distinct(tokens(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     return counts.crossJoin(F.broadcast(n)).select("term", "df", idf(F.col("df"), F.col("n")).alias("idf"))
 
 
-def _times(words: str, term: str) -> Column:
-    return F.size(F.filter(words, lambda x: x == F.lit(term)))
+def corpus_stats(lengths: DataFrame) -> DataFrame:
+    """(n, avgdl) of documents (dl); the mean length is 1 at least."""
+    return lengths.agg(F.count("*").alias("n"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
 
 
-def search(docs: DataFrame, key: str, text: Column, query: str, k: int) -> DataFrame:
-    """(key, score) of the k best documents; a term that the query repeats counts again; ties go to the lesser key.
+def lengths(docs: DataFrame, key: str, text: Column) -> DataFrame:
+    """(key, dl)"""
+    return docs.select(F.col(key), F.size(tokens(text)).alias("dl"))
 
-    Documents keep their length and the frequencies of the query's terms, and no other postings: one pass,
-    one small aggregate for the corpus' numbers, and a top-k.
-    """
+
+def search(docs: DataFrame, key: str, text: Column, query: str, k: int) -> DataFrame:
+    """(key, score) of the k best documents; a term that the query repeats counts again; ties go to the lesser key."""
     spark = docs.sparkSession
     words = spark.createDataFrame([(query,)], "q string").select(tokens(F.col("q"))).first()[0]
     if not words or k < 1:
         return docs.select(F.col(key), F.lit(0.0).alias("score")).limit(0)
     terms = sorted(set(words))
-    each = docs.select(F.col(key), tokens(text).alias("w"))
-    # The frequencies of all terms in one pass over a document's words.
-    tf = [_times("w", t) for t in terms]
-    each = each.select(key, F.size("w").alias("dl"), *(c.alias(f"tf{i}") for i, c in enumerate(tf)))
-    stats = each.agg(F.count("*").alias("n"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"), *(F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))))
+    # What is left after all of a term's occurrences are removed tells their number, without a function over items.
+    left = F.size("w")
+    each = docs.select(F.col(key).alias("key"), tokens(text).alias("w")).select("key", left.cast("long").alias("dl"), *((left - F.size(F.array_remove("w", t))).alias(f"tf{i}") for i, t in enumerate(terms)))
+    # Written once: a filter on the frequencies would otherwise move below, and split the texts again for each term.
+    each = cut(each)
+    stats = each.agg(F.count("*").alias("n"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     score = F.lit(0.0)
     for i, t in enumerate(terms):
         f = F.col(f"tf{i}")
         part = idf(F.col(f"df{i}"), F.col("n")) * (f * (K1 + 1)) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
         score = score + F.when(f > 0, part * words.count(t)).otherwise(0.0)
     hit = " or ".join(f"tf{i} > 0" for i in range(len(terms)))
-    return each.where(hit).crossJoin(F.broadcast(stats)).select(key, score.alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(k)
+    found = each.where(hit).crossJoin(F.broadcast(stats)).select(F.col("key").alias(key), score.alias("score"))
+    return found.where("score > 0").orderBy(F.desc("score"), key).limit(k)

@@ -1,4 +1,10 @@
-"""Graphs as edge tables: degrees, PageRank, hubs, neighbourhoods."""
+"""Graphs as edge tables: degrees, PageRank, hubs, neighbourhoods.
+
+Nodes have a column node, edges src and dst, and kind where kinds matter; other columns are not looked at.
+
+Defined results: null nodes, and edges with a null end, are left out; repeated nodes are one, while parallel edges
+count each until `distinct_edges` drops them; empty tables give empty results; equal scores go by node.
+"""
 
 from __future__ import annotations
 
@@ -14,23 +20,27 @@ DAMPING, MAX_ROUNDS, TOLERANCE, HUB_SHARE = 0.85, 100, 1e-6, 0.10
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
     """Without self loops and repeats of (src, dst, kind)."""
-    keys = [c for c in ("src", "dst", "kind") if c in edges.columns]
+    keys = [c for c in ("src", "dst", "kind") if c in edges.columns]  # src <> dst leaves out null ends too
     return edges.where("src <> dst").dropDuplicates(keys)
 
 
 def out_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, out_degree) of all nodes; parallel edges of different kinds count each."""
+    nodes = nodes.where("node is not null")
     d = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out_degree"))
     return nodes.select("node").join(d, "node", "left").select("node", F.coalesce("out_degree", F.lit(0)).alias("out_degree"))
 
 
 def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = MAX_ROUNDS, tolerance: float = TOLERANCE, small: int = 2_000_000) -> DataFrame:
-    """(node, score). Graphs of at most `small` nodes and edges are ranked in one task; others by a join a round.
+    """(node, score). Graphs of at most `small` nodes and edges are ranked in one task; others, with the same
+    result, by a join a round.
 
-    Mass of nodes without edges out is spread over all. Rounds end when the scores change by less than
-    the tolerance in sum, after the change.
+    Mass of nodes without edges out is spread over all. Edges from or to what isn't a node don't count. Rounds
+    end when the scores change by less than the tolerance in sum, after the change.
     """
-    nodes = nodes.select("node").distinct()
+    nodes = nodes.select("node").where("node is not null").distinct()
+    known = lambda end: nodes.select(F.col("node").alias(end))
+    edges = cut(edges.select("src", "dst").join(known("src"), "src", "left_semi").join(known("dst"), "dst", "left_semi").select("src", "dst"))
     n, m = nodes.count(), edges.count()
     if not n:
         return nodes.select("node", F.lit(0.0).alias("score"))
@@ -59,8 +69,6 @@ def _rank_in_task(nodes: DataFrame, edges: DataFrame, damping: float, rounds: in
         names = left.node.sort_values(ignore_index=True)
         at = pd.Index(names)
         src, dst = at.get_indexer(right.src), at.get_indexer(right.dst)
-        ok = (src >= 0) & (dst >= 0)
-        src, dst = src[ok], dst[ok]
         n = len(names)
         degree = np.bincount(src, minlength=n)
         score = np.full(n, 1.0 / n)
@@ -109,17 +117,20 @@ def file_importance(nodes: DataFrame, scores: DataFrame, files: DataFrame) -> Da
 
 
 def dense_ids(symbols: DataFrame, *order: str) -> DataFrame:
-    """With node, a number from 0 in the order given.
+    """With node, a number from 0 in the order given; a column of this name is replaced, all others stay.
 
-    A window over all rows would sort them in one task; so rows are sorted by range, and
-    each partition's rows are numbered from the sum of those before it.
+    Nulls come first; rows alike in the order get numbers next to each other. A window over all rows would
+    sort them in one task; so rows are sorted by range, and each partition's rows are numbered from the sum of
+    those before it.
     """
-    ranged = cut(symbols.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
-    sizes = ranged.groupBy("part").count().orderBy("part").collect()  # one row a partition
+    taken = {c.lower() for c in symbols.columns}
+    part, base = (next(x for x in (f"_{name}{k}" for k in range(len(taken) + 1)) if x not in taken) for name in ("part", "base"))
+    ranged = cut(symbols.drop(*(c for c in symbols.columns if c.lower() == "node" and c not in order)).repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    sizes = ranged.groupBy(part).count().orderBy(part).collect()  # one row a partition
     before, total = [], 0
     for row in sizes:
-        before.append((row["part"], total))
+        before.append((row[part], total))
         total += row["count"]
-    starts = symbols.sparkSession.createDataFrame(before, "part int, base long") if before else symbols.sparkSession.createDataFrame([], "part int, base long")
-    within = F.row_number().over(Window.partitionBy("part").orderBy(*order))
-    return ranged.join(F.broadcast(starts), "part").withColumn("node", (F.col("base") + within - 1).cast("long")).drop("part", "base")
+    starts = symbols.sparkSession.createDataFrame(before, f"{part} int, {base} long")
+    within = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return ranged.join(F.broadcast(starts), part).withColumn("node", (F.col(base) + within - 1).cast("long")).drop(part, base)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,27 +37,34 @@ def allocate(plans: DataFrame, budget: int = UNBOUNDED) -> DataFrame:
     """(file_id, level): one greedy pass by value density, from each plan's initial `level` down to what still fits.
 
     Hubs stop at skeletons even where these don't fit, and one that starts lower is raised to it. Without a column
-    `level` all start at 3. The pass depends on what is left, so it is a fold over one row a file
-    without its text; a corpus' list of files is what has to fit in one task.
+    `level` all start at 3. Ties go by file_id; null costs and importances are 0, a null level is 0, a null
+    is_hub is false; rows that repeat a file_id are plans of their own. What a plan may spend depends on all before it, so the
+    pass is one task over the sorted plans, a few numbers a file and in time in proportion to their number; the
+    task holds a batch of them at a time.
     """
     first = F.col("level") if "level" in plans.columns else F.lit(3)
     if budget <= 0:
         return plans.select("file_id", F.lit(0).alias("level"))
-    row = F.struct((-density(F.col("importance"), F.col("full_tokens"))).alias("k"), "file_id", F.col("full_tokens").alias("f"), F.col("skeleton_tokens").alias("s"), F.col("signature_tokens").alias("g"), F.coalesce("is_hub", F.lit(False)).alias("h"), first.cast("int").alias("i"))
-    listed = plans.select(row.alias("r")).agg(F.sort_array(F.collect_list("r")).alias("all"))
-
-    def step(acc: Column, x: Column) -> Column:
-        rem = acc["rem"]
-        level = (
-            F.when((x["i"] >= 3) & (x["f"] <= rem), 3)
-            .when((x["i"] >= 2) & ((x["s"] <= rem) | x["h"]), 2)
-            .when((x["i"] >= 1) & (x["g"] <= rem), 1)
-            .when(x["h"], 2)
-            .otherwise(0)
-        )
-        spent = cost(level, x["f"], x["s"], x["g"])
-        return F.struct(F.greatest(rem - spent, F.lit(0).cast("long")).alias("rem"), F.concat(acc["out"], F.array(F.struct(x["file_id"].alias("file_id"), level.alias("level")))).alias("out"))
+    number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long"))
+    full = number("full_tokens")
+    rows = plans.select("file_id", (-density(F.coalesce("importance", F.lit(0.0)), full)).alias("k"), full.alias("f"), number("skeleton_tokens").alias("s"), number("signature_tokens").alias("g"), F.coalesce("is_hub", F.lit(False)).alias("h"), F.coalesce(first.cast("int"), F.lit(0)).alias("i"))
+
+    def run(batches):
+        left = budget
+        for pdf in batches:
+            levels = []
+            for f, s, g, h, i in zip(*(pdf[c].tolist() for c in ("f", "s", "g", "h", "i")), strict=True):
+                if i >= 3 and f <= left:
+                    level, spent = 3, f
+                elif (i >= 2 and (s <= left or h)) or (h and not (i >= 1 and g <= left)):
+                    level, spent = 2, s
+                elif i >= 1 and g <= left:
+                    level, spent = 1, g
+                else:
+                    level, spent = 0, 0
+                left = max(left - spent, 0)
+                levels.append(level)
+            yield pd.DataFrame({"file_id": pdf["file_id"], "level": levels})
 
     id_type = plans.schema["file_id"].dataType.simpleString()
-    start = F.struct(F.lit(budget).cast("long").alias("rem"), F.array().cast(f"array<struct<file_id:{id_type},level:int>>").alias("out"))
-    return listed.select(F.explode(F.aggregate("all", start, step)["out"]).alias("x")).select("x.file_id", "x.level")
+    return rows.repartition(1).sortWithinPartitions("k", "file_id").mapInPandas(run, f"file_id {id_type}, level int")

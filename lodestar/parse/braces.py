@@ -21,7 +21,9 @@ class Source:
     def __init__(self, text: str, language: str):
         self.text = text
         self.code = MASKS[language].sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
+        self.derives: list[tuple[int, list[str]]] = []
         if language == "rust":  # attributes hold no calls
+            self.derives = [(m.start(), [x.strip() for x in m.group(1).split(",") if x.strip()]) for m in re.finditer(r"#\[derive\(([^)]*)\)\]", self.code)]
             self.code = re.sub(r"#!?\[[^\]]*\]", lambda m: re.sub(r"[^\n]", " ", m.group()), self.code)
         self.breaks = [m.start() for m in re.finditer("\n", text)]
         self.pairs: dict[int, int] = {}
@@ -33,6 +35,10 @@ class Source:
             elif stack and stack[-1][0] == {"}": "{", ")": "(", "]": "["}[c]:
                 self.pairs[stack.pop()[1]] = m.start()
 
+    def block(self, at: int) -> int:
+        """Where the innermost block around a place opens, or -1."""
+        return max((a for a, b in self.pairs.items() if a < at < b), default=-1)
+
     def line(self, at: int) -> int:
         return bisect.bisect_left(self.breaks, at) + 1
 
@@ -117,7 +123,8 @@ def rust(source: str) -> Parsed:
             open_ = s.code.find("(", m.end())
             signature = f"fn {name}" + (source[open_ : s.pairs[open_] + 1] if open_ in s.pairs else "()")
         visibility = "private" if what == "mod" else vis(m.group("vis"))
-        out.symbols.append(Symbol(kinds[what], name, visibility, signature, s.docs(at, ("///", "//!")), s.line(at), s.line(end)))
+        derives = _derives(s, at) if what in ("struct", "enum") else []
+        out.symbols.append(Symbol(kinds[what], name, visibility, signature, s.docs(at, ("///", "//!")), s.line(at), s.line(end), derives=derives))
     for m in re.finditer(r"\buse\s+([^;]+);", s.code):
         line = s.line(m.start())
         for path in _use(re.sub(r"\s+", " ", m.group(1)).strip()):
@@ -129,6 +136,15 @@ def rust(source: str) -> Parsed:
     return out
 
 
+def _derives(s: Source, at: int) -> list[str]:
+    """What all attributes before an item in its block derive: they are siblings of the items, so an item
+    without any of its own has those of the items before it."""
+    if not s.derives:
+        return []
+    here = s.block(at)
+    return [name for place, names in s.derives if here < place < at and s.block(place) == here for name in names]
+
+
 def _use(tree: str) -> list[str]:
     """Paths of a use tree, one for each name that it binds; an alias has the path of what it names."""
     tree = tree.strip()

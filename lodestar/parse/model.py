@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-SYMBOL = "struct<kind:string,name:string,visibility:string,signature:string,docstring:string,line_start:int,line_end:int,parent:string,parents:array<struct<name:string,kind:string>>,members:array<string>>"
+SYMBOL = "struct<kind:string,name:string,visibility:string,signature:string,docstring:string,line_start:int,line_end:int,parent:string,parents:array<struct<name:string,kind:string>>,members:array<string>,derives:array<string>,body_stripped:boolean>"
 IMPORT = "struct<module:string,names:array<string>,line:int>"
 CALL = "struct<callee:string,qualifier:string,line:int,enclosing:string>"
 COLUMNS = f"symbols array<{SYMBOL}>, imports array<{IMPORT}>, calls array<{CALL}>, skeleton string, status string"
@@ -22,6 +22,13 @@ class Symbol:
     parent: str | None = None
     parents: list[dict] = field(default_factory=list)
     members: list[str] = field(default_factory=list)
+    derives: list[str] = field(default_factory=list)
+    body_stripped: bool = False
+
+    @property
+    def is_stripped(self) -> bool:
+        """Functions, structs and classes alone have a body that can be taken out."""
+        return self.body_stripped and self.kind in ("function", "struct", "class")
 
     def row(self) -> dict:
         return self.__dict__.copy()

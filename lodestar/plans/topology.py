@@ -8,16 +8,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.functions.text import estimate_tokens
-from lodestar.operators import bm25, graph, resolve, slicing
+from lodestar.functions.bpe import count_tokens
+from lodestar.operators import graph, resolve, slicing
 from lodestar.parse.spark import parse
-from lodestar.plans import render
+from lodestar.plans import render, strategies
 from lodestar.plans.candidates import candidates
 from lodestar.session import cut
 from lodestar.sources import repository
 
 MODES = ("dump", "explore", "architect", "task")
-TOP_FILES, HOPS = 5, 2
 
 
 @dataclass(frozen=True)
@@ -26,20 +25,22 @@ class Options:
     query: str | None = None
     max_tokens: int | None = None
     collapse: bool = True
+    vocabulary: str | None = None  # a file of byte-pair ranks; without one, tokens are estimated
 
     def checked(self) -> Options:
         mode = self.mode.strip().lower()
         if self.max_tokens is not None and self.max_tokens < 1:
-            raise ValueError("max_tokens must be at least 1")
-        if mode not in MODES:
-            raise ValueError("unknown mode. Valid modes: dump, explore, architect, task")
+            raise ValueError(f"a budget of {self.max_tokens} tokens has no room for anything; give 1 or more")
+        known = [*MODES, *(m for m in strategies.STRATEGIES if m not in MODES)]
+        if mode not in known:
+            raise ValueError(f"no mode {self.mode!r}; there are {', '.join(known)}")
         if mode == "task" and not (self.query or "").strip():
-            raise ValueError("mode 'task' requires a non-empty 'query' parameter")
+            raise ValueError("the mode task needs a query that isn't blank")
         return replace(self, mode=mode)
 
 
-def parsed_files(files: DataFrame) -> DataFrame:
-    return cut(parse(files).withColumn("token_count", estimate_tokens(F.col("source"))))
+def parsed_files(files: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    return cut(parse(files).withColumn("token_count", count_tokens(F.col("source"), vocabulary)))
 
 
 def symbol_nodes(parsed: DataFrame) -> DataFrame:
@@ -77,29 +78,20 @@ def document_text(parsed: DataFrame) -> DataFrame:
 
 
 def plan(parsed: DataFrame, options: Options) -> DataFrame:
-    """(file_id, level) of the modes architect and task."""
+    """(file_id, level) of a mode that has a strategy."""
     nodes = symbol_nodes(parsed)
     edges = code_graph(parsed, nodes)
     scores = cut(graph.page_rank(nodes, edges))
     importance = graph.file_importance(nodes.select("node", "path"), scores, parsed)
     hub_files = graph.hubs(scores).join(nodes, "node").select("path").distinct().withColumn("hub", F.lit(True))
-    files = parsed.select("file_id", "path", "token_count", F.size("symbols").alias("n_symbols"), estimate_tokens(F.col("skeleton")).alias("skeleton_tokens"))
-    files = files.join(importance, "path").join(hub_files, "path", "left").withColumn("is_hub", F.coalesce("hub", F.lit(False)))
-    if options.mode == "architect":
-        files = files.withColumn("level", F.when(F.col("is_hub"), 3).otherwise(2))
-    else:
-        best = cut(bm25.search(document_text(parsed), "file_id", F.col("doc"), options.query or "", TOP_FILES))
-        start = nodes.join(best.select("file_id"), "file_id").select("node")
-        near = graph.k_hop(edges, start, HOPS).join(nodes, "node").select("file_id").distinct().join(best, "file_id", "left_anti").withColumn("dep", F.lit(True))
-        files = files.join(best, "file_id", "left").join(near, "file_id", "left")
-        target = F.col("score").isNotNull()
-        files = files.withColumn("level", F.when(target, 3).when(F.col("dep"), 2).otherwise(1)).withColumn("is_hub", target | F.col("is_hub"))
-        files = files.withColumn("importance", F.coalesce("score", F.lit(0.0)) + F.col("importance"))
-    plans = slicing.build_plans(files).join(files.select("file_id", "level"), "file_id")
+    files = parsed.select("file_id", "path", "token_count", F.size("symbols").alias("n_symbols"), count_tokens(F.col("skeleton"), options.vocabulary).alias("skeleton_tokens"))
+    files = files.join(importance, "path").join(hub_files, "path", "left").withColumn("is_hub", F.coalesce("hub", F.lit(False))).drop("hub")
+    levels = strategies.STRATEGIES[options.mode](strategies.Code(files, nodes, edges, document_text(parsed), options.query))
+    plans = slicing.build_plans(levels).join(levels.select("file_id", "level"), "file_id")
     return slicing.allocate(plans, options.max_tokens or slicing.UNBOUNDED)
 
 
-def apply_plan(parsed: DataFrame, levels: DataFrame) -> DataFrame:
+def apply_plan(parsed: DataFrame, levels: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Sources at their levels, recounted; files without any source left are gone."""
     from lodestar.functions.paths import comment_prefix
 
@@ -108,16 +100,16 @@ def apply_plan(parsed: DataFrame, levels: DataFrame) -> DataFrame:
     signatures = F.concat(mark, F.lit(" "), F.col("path"), F.lit("\n"), F.array_join(lines, "\n"))
     source = F.when(F.col("level") == 3, F.col("source")).when(F.col("level") == 2, F.col("skeleton")).when(F.col("level") == 1, signatures).otherwise("")
     out = parsed.join(levels, "file_id").withColumn("source", source).where("source <> ''")
-    return out.withColumn("token_count", estimate_tokens(F.col("source"))).drop("level")
+    return out.withColumn("token_count", count_tokens(F.col("source"), vocabulary)).drop("level")
 
 
 def run(spark: SparkSession, root: str, options: Options = Options(), limits: repository.Limits = repository.Limits()) -> str:
     """The Markdown of a repository."""
     options = options.checked()
-    files = parsed_files(repository.read(spark, root, limits).files)
-    sliced = options.mode in ("architect", "task")
+    files = parsed_files(repository.read(spark, root, limits).files, options.vocabulary)
+    sliced = options.mode in strategies.STRATEGIES
     if sliced:
-        files = cut(apply_plan(files, plan(files, options)))
+        files = cut(apply_plan(files, plan(files, options), options.vocabulary))
     return render.markdown(files, options.collapse, contract=options.mode != "dump", max_tokens=None if sliced else options.max_tokens)
 
 

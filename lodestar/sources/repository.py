@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import fnmatch
+import functools
 import os
+import re
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -28,21 +29,61 @@ class Corpus:
     redactions: int
 
 
+def _lines(text: str, base: str) -> list[tuple[str, str, bool]]:
+    """(directory, pattern, negated) of an ignore file. Spaces at the end count only after a backslash."""
+    out = []
+    for line in text.splitlines():
+        line = re.sub(r"(?<!\\)[ \t]+$", "", line)
+        if line and not line.startswith("#"):
+            out.append((base, line.removeprefix("!"), line.startswith("!")))
+    return out
+
+
 def _rules(root: Path) -> list[tuple[str, str, bool]]:
-    """(directory, pattern, negated) of all ignore files, outer ones first."""
+    """(directory, pattern, negated) of all ignore files: the user's own, the repository's exclude file, then outer before inner ones."""
     out = []
+    config = os.environ.get("XDG_CONFIG_HOME") or os.path.join(os.path.expanduser("~"), ".config")
+    for extra in (Path(config, "git", "ignore"), root / ".git" / "info" / "exclude"):
+        if extra.is_file():
+            out += _lines(extra.read_text(errors="replace"), "")
     for at, dirs, names in os.walk(root):
         dirs[:] = sorted(d for d in dirs if d != ".git")
         base = os.path.relpath(at, root).replace(os.sep, "/")
         for name in (".gitignore", ".ignore"):
             if name in names:
-                for line in Path(at, name).read_text(errors="replace").splitlines():
-                    line = line.rstrip()
-                    if line and not line.startswith("#"):
-                        out.append(("" if base == "." else base, line.removeprefix("!"), line.startswith("!")))
+                out += _lines(Path(at, name).read_text(errors="replace"), "" if base == "." else base)
     return out
 
 
+@functools.lru_cache(maxsize=65_536)
+def _pattern(glob: str) -> re.Pattern:
+    """A glob as an expression: * and ? stay within a part of a path; **/, /** and /**/ stand for any number of parts."""
+    out, k = "", 0
+    while k < len(glob):
+        c = glob[k]
+        if glob.startswith("**/", k) and (k == 0 or glob[k - 1] == "/"):
+            out, k = out + "(?:[^/]+/)*", k + 3
+        elif glob[k:] == "**" and k and glob[k - 1] == "/":
+            out, k = out + ".+", k + 2
+        elif c == "*":
+            out, k = out + "[^/]*", k + 1
+        elif c == "?":
+            out, k = out + "[^/]", k + 1
+        elif c == "[" and (end := glob.find("]", k + 2 + (glob[k + 1 : k + 2] in "!^"))) > 0:
+            body = glob[k + 1 : end]
+            inverse = body[:1] in ("!", "^")
+            body = body[inverse:].replace("\\", "\\\\").replace("[", "\\[").replace("]", "\\]")
+            out, k = out + ("(?!/)[^" if inverse else "(?!/)[") + body + "]", end + 1
+        elif c == "\\" and k + 1 < len(glob):
+            out, k = out + re.escape(glob[k + 1]), k + 2
+        else:
+            out, k = out + re.escape(c), k + 1
+    try:
+        return re.compile(out)
+    except re.error:  # a range that isn't one matches nothing
+        return re.compile(r"(?!)")
+
+
 def ignored(path: str, rules: list[tuple[str, str, bool]]) -> bool:
     """Whether a path relative to the root, or a directory that it is in, is ignored; the last rule that matches decides."""
     parts = path.split("/")
@@ -55,11 +96,8 @@ def ignored(path: str, rules: list[tuple[str, str, bool]]) -> bool:
             only_dir, p = pattern.endswith("/"), pattern.rstrip("/")
             if only_dir and not is_dir:
                 continue
-            anchored = "/" in p
-            target = inner if anchored else inner.rsplit("/", 1)[-1]
-            p = p.lstrip("/")
-            hit = fnmatch.fnmatchcase(target, p) or (p.startswith("**/") and fnmatch.fnmatchcase(inner, p[3:]))
-            if hit:
+            target = inner if "/" in p else inner.rsplit("/", 1)[-1]
+            if p and _pattern(p.removeprefix("/")).fullmatch(target):
                 out = not negated
         if out:
             return True
@@ -67,12 +105,14 @@ def ignored(path: str, rules: list[tuple[str, str, bool]]) -> bool:
 
 
 def admit(raw: DataFrame, limits: Limits) -> DataFrame:
-    """raw (path, content, length) with source and reason (null: admitted)."""
+    """raw (path, content, length) with source and reason (null: admitted). A null content or length is read as an empty file."""
+    raw = raw.withColumns({"content": F.coalesce("content", F.lit("").cast("binary")), "length": F.coalesce("length", F.lit(0))})
     text = F.col("content").cast("string")
     reason = (
-        F.when(F.size(F.split("path", "/")) > limits.max_path_depth, "path_too_deep")
+        F.when(F.instr("path", "\0") > 0, "bad_path")
+        .when(F.size(F.split("path", "/")) > limits.max_path_depth, "path_too_deep")
         .when(F.col("length") > limits.max_file_size, "too_large")
-        .when(F.instr(F.hex(F.substring("content", 1, 512)), "00") % 2 == 1, "binary")
+        .when(F.contains(F.substring("content", 1, 512), F.unhex(F.lit("00"))), "binary")
         .when(~F.is_valid_utf8(text), "not_utf8")
     )
     return raw.select("path", "length", text.alias("source"), reason.alias("reason"))
