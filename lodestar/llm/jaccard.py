@@ -44,7 +44,7 @@ from lodestar.llm.text import Words, mix, ngrams
 
 N, THRESHOLD = 3, 0.5
 LEAST = 0.25  # of the tokens that similar sets share, the part that has to be among the first ones
-BLOCK_ROWS, BLOCK_TOKENS, PART_TOKENS, ASKS = 2_048, 2_000_000, 2_000_000, 500_000
+BLOCK_ROWS, BLOCK_TOKENS, PART_TOKENS, ASKS = 2_048, 2_000_000, 1_000_000, 500_000
 LIGHT = 48  # bits of a token
 ENTRY = pa.schema([("doc", pa.int64()), ("size", pa.int64()), ("mark_a", pa.int64()), ("mark_b", pa.int64()), ("grp", pa.int64())])
 PACKET = pa.schema([("part", pa.int32()), ("groups", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32()))])
