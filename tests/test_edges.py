@@ -28,3 +28,12 @@ def test_call_edges_of_nodes_with_two_names(spark, block):
     calls = [("p0", None, "n1"), ("p0", None, "n2"), ("p0", None, "n3"), ("p0", None, "n3"), ("p1", "n1", "n1"), ("p9", None, "n1"), (None, None, "n1"), ("p1", None, None)]
     want = {(s, t, "call") for path, inside, callee in calls for s, p, n in NODES for t, _, m in NODES if None not in (path, callee, s, t) and p == path and inside in (None, n) and m == callee and s != t}
     assert rows(resolve.call_edges(spark.createDataFrame(calls, "path string, enclosing string, callee string"), nodes)) == sorted(want)
+
+
+def test_import_edges_are_listed_once(spark, block):
+    nodes = spark.createDataFrame(NODES, "node int, path string, name string")
+    imports = [("p0", "p1", []), ("p0", "p1", []), ("p0", "p1", ["n1"]), ("p2", "p2", ["n0", "n1", "n1"]), ("p2", "p0", ["n1", "n9"]), ("p1", "p9", []), (None, "p1", []), ("p1", None, [])]
+    want = {(s, t, "import") for path, target, names in imports for s, p, _ in NODES for t, q, m in NODES if None not in (path, target, s, t) and p == path and q == target and (not names or m in names) and s != t}
+    imports = spark.createDataFrame(imports, "path string, target string, names array<string>")
+    assert rows(resolve.import_edges(imports, nodes)) == sorted(want)
+    assert not shuffles_edges(resolve.import_edges(imports, nodes.where("node not in (5, 7)")))
