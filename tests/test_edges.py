@@ -37,3 +37,15 @@ def test_import_edges_are_listed_once(spark, block):
     imports = spark.createDataFrame(imports, "path string, target string, names array<string>")
     assert rows(resolve.import_edges(imports, nodes)) == sorted(want)
     assert not shuffles_edges(resolve.import_edges(imports, nodes.where("node not in (5, 7)")))
+
+
+def test_parent_edges_of_repeated_parents(spark, block):
+    nodes = spark.createDataFrame(NODES, "node int, path string, name string")
+    parents = [("p0", "n1", "n2", "extends"), ("p0", "n1", "n2", "extends"), ("p0", "n1", "n2", "implements"), ("p2", "n1", "n1", "extends"), ("p9", "n1", "n2", "extends"), ("p0", "n0", None, "extends")]
+    want = set()
+    for path, name, parent, kind in parents:
+        first = min((k for k, p, n in NODES if k is not None and (p, n) == (path, name)), default=None)
+        want |= {(first, t, kind) for t, _, m in NODES if None not in (first, t, parent) and m == parent and t != first}
+    parents = spark.createDataFrame(parents, "path string, name string, parent string, kind string")
+    assert rows(resolve.parent_edges(parents, nodes)) == sorted(want)
+    assert not shuffles_edges(resolve.parent_edges(parents, nodes.where("node not in (5, 7)")))
