@@ -98,11 +98,12 @@ def k_hop(edges: DataFrame, start: DataFrame, k: int) -> DataFrame:
     if "kind" in edges.columns:
         edges = edges.where("kind <> 'import'")
     near = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     seen = start.select("node", F.lit(0).alias("hop")).distinct()
     frontier = seen
     for hop in range(1, k + 1):
-        step = frontier.select(F.col("node").alias("a")).join(near, "a").select(F.col("b").alias("node")).distinct()
+        # The edges themselves aren't made distinct: a semi join has each once a hop, and only their ends are kept.
+        step = near.join(frontier.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).distinct()
         frontier = cut(step.join(seen, "node", "left_anti").select("node", F.lit(hop).alias("hop")))
         seen = seen.unionByName(frontier)
         if frontier.isEmpty():

@@ -39,6 +39,14 @@ def test_import_edges_are_listed_once(spark, block):
     assert not shuffles_edges(resolve.import_edges(imports, nodes.where("node not in (5, 7)")))
 
 
+def test_k_hop_makes_no_table_of_edges_distinct(spark, monkeypatch):
+    monkeypatch.setattr(graph, "cut", lambda df: df)
+    edges = spark.createDataFrame([(0, 1, "a"), (0, 1, "b"), (2, 1, "a"), (2, 3, "a"), (0, 9, "import"), (None, 0, "a"), (0, None, "a"), (3, 3, "a")], "src int, dst int, kind string")
+    got = graph.k_hop(edges, spark.createDataFrame([(0,), (0,)], "node int"), 2)
+    assert rows(got.where("node is not null")) == [(1, 1), (2, 2)]
+    assert not re.search(r"Aggregate \[a#\d+, b#\d+", got._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_parent_edges_of_repeated_parents(spark, block):
     nodes = spark.createDataFrame(NODES, "node int, path string, name string")
     parents = [("p0", "n1", "n2", "extends"), ("p0", "n1", "n2", "extends"), ("p0", "n1", "n2", "implements"), ("p2", "n1", "n1", "extends"), ("p9", "n1", "n2", "extends"), ("p0", "n0", None, "extends")]
