@@ -10,18 +10,58 @@ Columns of the table other than the key and the text are not looked at, whatever
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from lodestar.functions.text import tokens
+from lodestar.functions.text import tokens, words
 from lodestar.session import cut
 
 K1, B = 1.2, 0.75
 
 
 def term_frequency(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, term, tf); the rows of one key are counted together."""
-    return docs.select(F.col(key), F.explode(tokens(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """(key, term, tf); the rows of one key are counted together.
+
+    A row's terms are counted in place, and only rows whose key another has, which are looked for first, are
+    shuffled: by term, as counts.
+    """
+    several = docs.groupBy(key).count().where("count > 1").select(F.col(key).alias("_key"))
+    each = docs.select(F.col(key), words(text).alias("w"))
+    if several.isEmpty():
+        return _counted(each, key)
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    shared = _counted(each.join(several, same, "left_semi"), key).groupBy(key, "term").agg(F.sum("tf").alias("tf"))
+    return _counted(each.join(several, same, "left_anti"), key).unionByName(shared)
+
+
+def _counted(each: DataFrame, key: str, most: int = 4 << 20) -> DataFrame:
+    """(key, term, tf) of each row (key, w) by itself, of about `most` bytes of words at a time, or one row's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, sizes = 0, pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes.astype(np.int64))
+            while at < batch.num_rows:
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+                yield count(batch.column(0).slice(at, stop - at), batch.column(1).slice(at, stop - at))
+                at = stop
+
+    def count(keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+        lists = pc.split_pattern(texts, " ")
+        terms, row = lists.flatten().dictionary_encode(), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+        n = len(terms.dictionary)
+        found, tf = np.unique(row.astype(np.int64) * n + terms.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        term = terms.dictionary.take(pa.array(found % max(n, 1)))
+        out = pa.RecordBatch.from_arrays([keys.take(pa.array(found // max(n, 1))), term, pa.array(tf.astype(np.int64))], names=[key, "term", "tf"])
+        return out.filter(pc.not_equal(term, ""))  # of texts without words
+
+    return each.mapInArrow(run, StructType([each.schema[key], StructField("term", StringType()), StructField("tf", LongType())]))
 
 
 def idf(df: Column, n: Column) -> Column:

@@ -1,7 +1,9 @@
 """Queries over texts: each text is read once, and counts, not words, are shuffled."""
 
+import pytest
 from lodestar import catalog
 from lodestar.functions import text
+from lodestar.operators import bm25
 from pyspark.sql import functions as F
 
 TEXTS = ["HTTPServer fooBar foo_bar bar", "aB aB ab ab AB", "", None, "--- ", "x1 1x \u00c9cole\u00c9t\u00e9", "a a a b b a", "aa a a aa", "\u039f\u0394\u039f\u03a3 \u03a3\u03a3a", "  9 lives, 9Lives"]
@@ -31,3 +33,18 @@ def test_call_fanout_against_a_plain_loop(spark, tmp_path):
         assert {tuple(r) for r in got.collect()} == want
         if name == "once":
             assert plan(got).count("Relation [") <= 2
+
+
+@pytest.mark.parametrize("most", [1, 4 << 20])
+def test_term_frequency_counts_in_place(spark, monkeypatch, most):
+    whole = bm25._counted
+    monkeypatch.setattr(bm25, "_counted", lambda each, key: whole(each, key, most))
+    for ids in (list(range(len(TEXTS))), [None, None, 1, 1, 2, 3, 4, 4, 4, 5]):
+        want = {}
+        for k, w in zip(ids, words(spark), strict=True):
+            for x in w:
+                want[k, x] = want.get((k, x), 0) + 1
+        got = bm25.term_frequency(spark.createDataFrame(list(zip(ids, TEXTS, strict=True)), "k int, t string"), "k", F.col("t"))
+        assert {(r.k, r.term): r.tf for r in got.collect()} == want and got.count() == len(want)
+        assert ("Aggregate" in plan(got)) == (None in ids)
+    assert bm25.term_frequency(spark.createDataFrame([], "k int, t string"), "k", F.col("t")).count() == 0
