@@ -15,7 +15,8 @@ def contract_view(files: DataFrame) -> DataFrame:
     """(path, line): the public symbols of each file that has any. files: (path, symbols of visibility, name, docstring)"""
     public = F.filter("symbols", lambda s: s["visibility"] == "public")
     names = F.transform(public, lambda s: F.concat(s["name"], F.coalesce(F.concat(F.lit(" — "), s["docstring"]), F.lit(""))))
-    listed = files.select("path", names.alias("names")).where(F.size("names") > 0)
+    # The filter stays above the generator; it would otherwise make all names a second time.
+    listed = files.select("path", F.explode(F.array(names)).alias("names")).where(F.size("names") > 0)
     return listed.select("path", F.concat(F.lit("- `"), "path", F.lit("`: "), F.array_join("names", ", ")).alias("line"))
 
 

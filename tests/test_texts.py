@@ -4,6 +4,7 @@ import pytest
 from lodestar import catalog
 from lodestar.functions import text
 from lodestar.operators import bm25
+from lodestar.plans import render
 from pyspark.sql import functions as F
 
 TEXTS = ["HTTPServer fooBar foo_bar bar", "aB aB ab ab AB", "", None, "--- ", "x1 1x \u00c9cole\u00c9t\u00e9", "a a a b b a", "aa a a aa", "\u039f\u0394\u039f\u03a3 \u03a3\u03a3a", "  9 lives, 9Lives"]
@@ -48,3 +49,12 @@ def test_term_frequency_counts_in_place(spark, monkeypatch, most):
         assert {(r.k, r.term): r.tf for r in got.collect()} == want and got.count() == len(want)
         assert ("Aggregate" in plan(got)) == (None in ids)
     assert bm25.term_frequency(spark.createDataFrame([], "k int, t string"), "k", F.col("t")).count() == 0
+
+
+def test_contract_view_makes_names_once(spark, tmp_path):
+    spark.createDataFrame([(0, "s", "en", "One eye two"), (1, "s", "fr", "eye"), (2, "s", None, "b b a")], "doc_id int, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.contract_view(spark, str(tmp_path))
+    assert {r.line for r in got.collect()} == {"- `s/0.rs`: one \u2014 en, two", "- `s/2.pyi`: b, a"}
+    assert plan(got).count("Relation [") == 1 and plan(got).count("array_remove") == 1
+    symbols = spark.createDataFrame([("a", [("public", None, None)]), ("b", [("private", "x", None)]), ("c", None)], "path string, symbols array<struct<visibility string, name string, docstring string>>")
+    assert {tuple(r) for r in render.contract_view(symbols).collect()} == {("a", "- `a`: ")}
