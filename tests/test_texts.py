@@ -2,7 +2,7 @@
 
 import pytest
 from lodestar import catalog
-from lodestar.functions import text
+from lodestar.functions import secrets, text
 from lodestar.operators import bm25
 from lodestar.plans import render
 from pyspark.sql import functions as F
@@ -58,3 +58,33 @@ def test_contract_view_makes_names_once(spark, tmp_path):
     assert plan(got).count("Relation [") == 1 and plan(got).count("array_remove") == 1
     symbols = spark.createDataFrame([("a", [("public", None, None)]), ("b", [("private", "x", None)]), ("c", None)], "path string, symbols array<struct<visibility string, name string, docstring string>>")
     assert {tuple(r) for r in render.contract_view(symbols).collect()} == {("a", "- `a`: ")}
+
+
+def test_secrets_are_those_of_all_patterns_in_turn(spark):
+    found = {
+        "private_key": "-----BEGIN RSA PRIVATE KEY-----\nab+/=\n-----END RSA PRIVATE KEY-----",
+        "openai": "sk-" + "a" * 20,
+        "github": "ghs_" + "a" * 30,
+        "aws": "ASIA" + "A" * 16,
+        "stripe": "rk_test_" + "a" * 16,
+        "jwt": "eyJa.b.c",
+        "database": "redis://u:p@h",
+        "assignment": 'secret = "' + "a" * 12 + '"',
+    }
+    assert found.keys() == secrets.PATTERNS.keys() == secrets.HINTS.keys()
+    texts = [*found.values(), " ".join(found.values()), "password = sk-" + "b" * 20, "mysql://u:" + found["openai"] + "@h", "sk-short token eyJ k_live_ ://", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.col("t"), secrets.count(F.col("t")).alias("n"), secrets.redact(F.col("t")).alias("r"))
+    left, want = F.col("t"), F.lit(0)
+    for p in secrets.PATTERNS.values():
+        left, want = F.regexp_replace(left, p, secrets.MARK), want + F.regexp_count(left, F.lit(p))
+    assert all(r.n == r.want and r.r == r.left for r in df.select("*", left.alias("left"), want.alias("want")).collect())
+    assert [r.n for r in df.limit(len(found)).collect()] == [1] * len(found)
+    assert not any(h in secrets.MARK or set("[]") & set(h) for hints in secrets.HINTS.values() for h in hints)
+
+
+def test_secret_scan_counts_only_where_there_are_secrets(spark, tmp_path):
+    spark.createDataFrame([(0, "sk-" + "a" * 20), (1, "sk-a"), (2, None)], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.secret_scan_documents(spark, str(tmp_path))
+    assert [tuple(r) for r in got.collect()] == [(0, 1)]
+    kept = [line for line in plan(got).splitlines() if "Filter" in line]
+    assert kept and not any("regexp_count" in line for line in kept)
